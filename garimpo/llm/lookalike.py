@@ -42,6 +42,7 @@ LOOKALIKE = {
 # Ranges that Unicode calls default ignorable beyond the format characters.
 IGNORABLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
 SPELLED_OUT = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))  # Roman numerals, ligatures
+LINE_BREAKS = (0xA, 0xB, 0xC, 0xD, 0x85, 0x2028, 0x2029)
 _WIDTHS = ("<wide>", "<narrow>", "<noBreak>")
 _CODES = sys.maxunicode + 1
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00  # Hangul syllables compose by arithmetic
@@ -57,30 +58,40 @@ def _spell(char: str) -> str:
 
 
 @functools.cache
-def _expansions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length for each code point, offset for each code point, pool of sequences).
+def _expansions() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length and offset of the composed sequence of each code point, the same decomposed, pool of sequences).
 
-    Offset -1 marks a code point that stands for itself.
+    Offset -1 marks a code point that stands for itself. Composed sequences
+    serve where no mark follows, so that most text needs no composition.
     """
-    length, offset, pool = np.ones(_CODES, np.int64), np.full(_CODES, -1, np.int64), []
+    length, offset = np.ones((2, _CODES), np.int64), np.full((2, _CODES), -1, np.int64)
+    pool: list[int] = []
     kinds = cp.classes()
     hidden = (kinds == cp.FORMAT) | (kinds == cp.CONTROL)
     for a, b in IGNORABLE:
         hidden[a : b + 1] = True
-    length[hidden] = 0
-    offset[hidden] = 0
+    length[:, hidden] = 0
+    offset[:, hidden] = 0
     folded = set(map(ord, LOOKALIKE))
     changes = [i for i in range(0x80, _CODES) if not hidden[i] and (i in folded or unicodedata.decomposition(chr(i)) or _S <= i < _S + 11172)]
     for i in changes:
-        seq = _spell(chr(i))
-        if seq != chr(i):
-            shown = [ord(c) for c in seq if not hidden[ord(c)]]
-            length[i], offset[i] = len(shown), len(pool)
-            pool += shown
+        spelled = "".join(c for c in _spell(chr(i)) if not hidden[ord(c)])
+        for k, seq in enumerate((unicodedata.normalize("NFC", spelled), spelled)):
+            if seq != chr(i):
+                length[k, i], offset[k, i] = len(seq), len(pool)
+                pool += map(ord, seq)
     for i in cp.WHITE_SPACE:
-        length[i], offset[i] = 1, len(pool)
+        length[:, i], offset[:, i] = 1, len(pool)
         pool.append(0x20)
-    return length, offset, np.array(pool or [0], np.uint32)
+    return *(x for k in (0, 1) for x in (length[k], offset[k])), np.array(pool or [0], np.uint32)
+
+
+@functools.cache
+def _leads() -> np.ndarray:
+    """Code points whose sequence starts with one that can attach to what stands before."""
+    _, _, length, offset, pool = _expansions()
+    _, follows, _, _ = _marks()
+    return np.where(offset < 0, follows, follows[pool[np.maximum(offset, 0)]] & (length > 0))
 
 
 @functools.cache
@@ -162,13 +173,21 @@ def compose(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cps[~drop], ends[off]
 
 
-def canonical(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The consistent form of a run of texts: (code points, row offsets)."""
-    length, offset, pool = _expansions()
-    width = length[cps]
+def canonical(cps: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The consistent form of a run of texts: (code points, row offsets).
+
+    With ``lines`` each line break becomes U+000A and blanks are left as they are.
+    """
+    length, offset, whole_length, whole_offset, pool = _expansions()
+    width, origin = length[cps], offset[cps]
+    joins = _leads()[cps]
+    if joins.any():
+        shown = np.flatnonzero(width > 0)
+        based = shown[:-1][joins[shown[1:]]]
+        width[based], origin[based] = whole_length[cps[based]], whole_offset[cps[based]]
+        width[joins], origin[joins] = whole_length[cps[joins]], whole_offset[cps[joins]]
     ends = np.zeros(len(cps) + 1, np.int64)
     np.cumsum(width, out=ends[1:])
-    origin = offset[cps]
     if ends[-1] == len(cps) and (width == 1).all():
         out = np.where(origin < 0, cps, pool[np.maximum(origin, 0)])
     else:
@@ -176,6 +195,10 @@ def canonical(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         inside = np.arange(ends[-1]) - ends[source]
         own = origin[source]
         out = np.where(own < 0, cps[source], pool[np.maximum(own, 0) + inside * (own >= 0)])
+    if lines:
+        breaks = np.isin(cps, LINE_BREAKS)
+        out[ends[:-1][breaks]] = 0xA
+        return compose(out.astype(np.uint32), ends[off])
     out, off = compose(out.astype(np.uint32), ends[off])
     blank = out == 0x20
     first = np.zeros(len(out) + 1, bool)

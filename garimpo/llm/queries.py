@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import lookalike, mix, split, terms, tokens, topn
+from garimpo.llm import lookalike, mix, spam, split, terms, tokens, topn
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -84,9 +84,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).where("insuficiente").select("source")
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each document's words in keyword, link, tag and product runs."""
+    return spam.spam_shares(_read(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stuffed with keywords, links, tags or product labels."""
+    return p8_shares(spark, d).where("caso").select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares)
+    for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
 }
 
 SQL: dict[str, str] = {
