@@ -1,0 +1,27 @@
+"""The latest row of every key, without moving the rows of keys that occur once."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from garimpo.workdir import materialize
+
+BROADCAST_KEYS = 100_000  # repeated keys that are broadcast at most; beyond, all rows are shuffled by key
+
+
+def latest_rows(df: DataFrame, keys: list[str], when: str, ties: list[Column] = (), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """One row for each distinct ``keys``: the latest by ``when``, then the first by ``ties``.
+
+    Null keys form a key of their own; callers filter them where they don't count.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.col(when).desc_nulls_last(), *ties)
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
+
+    repeated = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repetidas")
+    if repeated.count() > broadcast_keys:
+        return newest(df)
+    few = F.broadcast(repeated)
+    return df.join(few, keys, "left_anti").unionByName(newest(df.join(few, keys, "left_semi")))

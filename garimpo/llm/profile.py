@@ -22,9 +22,10 @@ PASSAGE = 8  # words of a repeated passage
 STATISTICS = (
     "funcionais", "maiusculas", "numericas", "simbolos", "fim_frase", "fim_item", "comprimento", "linha_curta",
     "estranhas", "repetidas", "ciclicas", "ligacoes", "separadores", "precos", "variedade", "ngramas",
+    "linha_numero", "linha_marcador", "linha_aberta", "lacunas",
 )
 N_STATS = len(STATISTICS)
-OTHER = 255
+OTHER, BROKEN = 127, 128  # class of words without a number of their own; flag of words that break a sentence
 _VOWELS = tuple(map(ord, "aeiouyáàâãäéèêëíìîïóòôõöúùûüýAEIOUYÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÝ"))
 _SEPARATORS = tuple(map(ord, ",;|/»"))
 
@@ -70,6 +71,51 @@ def passages(w: wt.Words, size: int, times: int) -> np.ndarray:
     return np.cumsum(hit[:-1]) > 0
 
 
+def line_values(w: wt.Words, capitals: np.ndarray, sets: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For each word what its line looks like: ends in a number, starts with a marker, ends open; and gaps after words.
+
+    A line ends open if it has no closing punctuation and the next line of the
+    text doesn't go on in lower case; texts in capitals have no open lines.
+    """
+    n = len(w.row)
+    first = np.flatnonzero(np.diff(w.line, prepend=-1) | (np.diff(w.row, prepend=-1) != 0))
+    last = np.append(first[1:], n) - 1
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    kind = cp.classes()
+    head, tail = w.cps[w.start[first]], w.last[last]
+    lower = (kind[head] == cp.LETTER) & ~w.capital[first]
+    closed = sets["sentence"][tail] | sets["clause"][tail] | (tail == ord(",")) | (tail == ord("-"))
+    goes_on = np.append(lower[1:], False)
+    final = np.append(w.row[first[1:]] != w.row[first[:-1]], True)
+    is_open = ~closed & ~goes_on & ~final & ~capitals[w.row[first]]
+    numbered = (w.digits[last] > 0) & ~closed
+    marked = np.isin(head, wt._MARKERS) | (kind[head] == cp.NUMBER)
+    after = np.minimum(w.end, max(len(w.cps) - 1, 0))
+    width = np.append(w.start[1:], len(w.cps)) - w.end
+    same = np.append((np.diff(w.line) == 0) & (np.diff(w.row) == 0), False)
+    gap = same & ((width > 1) | (w.cps[after] == 0x9))
+    return {"linha_numero": numbered[of], "linha_marcador": marked[of], "linha_aberta": is_open[of], "lacunas": gap}
+
+
+def order_classes(w: wt.Words, own: np.ndarray) -> np.ndarray:
+    """One byte a word: the number of its function word or OTHER, and BROKEN where a sentence goes wrong after it.
+
+    That is a full stop before a lower-case word, or a capital function word
+    inside a sentence and a line.
+    """
+    n = len(w.row)
+    out = np.where(own < 0, OTHER, own).astype(np.uint8)
+    if n < 2:
+        return out
+    same = np.diff(w.row) == 0
+    stop = np.isin(w.last, wt.SENTENCE_END) & (w.letters > 2)
+    lower = (w.letters > 0) & ~w.capital & (cp.classes()[w.cps[w.start]] == cp.LETTER)
+    inside = same & (np.diff(w.line) == 0) & ~stop[:-1] & ~np.isin(w.last[:-1], wt.CLAUSE_END) & (w.letters[:-1] > 1)
+    capital = w.capital[1:] & (own[1:] >= 0) & (w.upper[1:] < w.letters[1:])
+    out[:-1][same & stop[:-1] & lower[1:] | inside & capital] |= BROKEN
+    return out
+
+
 def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """(words, language of each row, function-word index of each word or -1, per-word values of every statistic)."""
     w = wt.word_table(t)
@@ -131,6 +177,7 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
         "precos": price,
         "variedade": content,
         "ngramas": pair | np.append(False, pair[:-1]),
+        **line_values(w, cased, sets),
     }
     return w, language, own, values
 
@@ -138,8 +185,7 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
 def profile(t: cp.Texts, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(language of each row, words of each row, word classes, cell offsets of the rows, cells x statistics as bytes).
 
-    The last column of the table is the number of words of the cell; the class
-    of a word is the number of its function word, or OTHER.
+    The last column of the table is the number of words of the cell.
     """
     w, language, own, values = word_flags(t)
     c = wt.cells(w, CELL, around)
@@ -152,7 +198,7 @@ def profile(t: cp.Texts, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         out[:, -1] = c.words
     counts = np.bincount(w.row, minlength=w.rows)
     cells_of = np.concatenate([[0], np.cumsum(np.bincount(c.row, minlength=w.rows))]).astype(np.int64)
-    return language, counts, np.where(own < 0, OTHER, own).astype(np.uint8), cells_of, out
+    return language, counts, order_classes(w, own), cells_of, out
 
 
 def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:

@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import lookalike, mix, spam, split, terms, tokens, topn
+from garimpo.llm import lookalike, mix, quality, spam, split, terms, tokens, topn
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def p1_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every document's text: words outside prose, distance, contribution of each statistic."""
+    return quality.document_quality(_read(spark, d, "pages_norm"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose words stand in lists, tables or junk."""
+    return p1_documents(spark, d).where("caso").select("id_documento")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of pages and of chunks that look the same but differ in code points."""
     pages = _read(spark, d, "pages_norm")
@@ -96,7 +106,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
+    for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
 }
 
 SQL: dict[str, str] = {

@@ -29,7 +29,7 @@ FUNCTION_WORDS = {
 _POWER = 4096  # words longer than this share the tail of the power table
 SENTENCE_END = tuple(map(ord, ".!?…"))
 CLAUSE_END = tuple(map(ord, ";:"))
-_MARKERS = tuple(map(ord, "-–—•*·▪■□◆»>§"))
+_MARKERS = tuple(map(ord, "-–—•*·▪■□◆»>"))
 
 
 class Words(NamedTuple):
