@@ -20,10 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimpo.llm.latest import latest_rows
 from garimpo.workdir import new_path
 
 RARE_BELOW, COMMON_SHARE = 3, 0.5
@@ -39,18 +40,9 @@ def terms_of(text: str) -> list[str]:
 
 
 def latest_texts(df: DataFrame, key: str, text: str, when: str, keep: list[str] = ()) -> DataFrame:
-    """One row for each distinct key: of its rows with a text the latest (ties: the greater text).
-
-    Only keys that occur more than once are moved together with their texts;
-    the others stay where they are read, as long as the repeated keys are few
-    enough for the engine to broadcast them.
-    """
+    """One row for each distinct key: of its rows with a text the latest (ties: the greater text)."""
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, *keep, text, when)
-    repeated = rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
-    single = rows.join(repeated, key, "left_anti")
-    w = Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last(), F.col(text).desc())
-    several = rows.join(repeated, key, "left_semi").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return single.unionByName(several).drop(when)
+    return latest_rows(rows, [key], when, [F.col(text).desc()]).drop(when)
 
 
 def partial_counts(df: DataFrame, text: str, group: str | None) -> DataFrame:
