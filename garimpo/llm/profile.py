@@ -18,11 +18,12 @@ from garimpo.llm import wordtable as wt
 
 CELL = 8
 NEAR = 24  # words within which a repeated word counts as stuffed
+LONGEST = 128  # characters of a word that count for its extent
 PASSAGE = 8  # words of a repeated passage
 STATISTICS = (
     "funcionais", "maiusculas", "numericas", "simbolos", "fim_frase", "fim_item", "comprimento", "linha_curta",
     "estranhas", "repetidas", "ciclicas", "ligacoes", "separadores", "precos", "variedade", "ngramas",
-    "linha_numero", "linha_marcador", "linha_aberta", "lacunas",
+    "linha_numero", "linha_marcador", "linha_aberta", "linha_tabela", "extensao",
 )
 N_STATS = len(STATISTICS)
 OTHER, BROKEN = 127, 128  # class of words without a number of their own; flag of words that break a sentence
@@ -72,9 +73,10 @@ def passages(w: wt.Words, size: int, times: int) -> np.ndarray:
 
 
 def line_values(w: wt.Words, capitals: np.ndarray, sets: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """For each word what its line looks like: ends in a number, starts with a marker, ends open; and gaps after words.
+    """For each word what its line looks like: ends in a number, starts with a marker, ends open, has columns.
 
-    A line ends open if it has no closing punctuation and the next line of the
+    A line has columns if two or more tabs, wide gaps, bars or semicolons
+    without a blank stand between its words. It ends open if it has no closing punctuation and the next line of the
     text doesn't go on in lower case; texts in capitals have no open lines.
     """
     n = len(w.row)
@@ -94,7 +96,12 @@ def line_values(w: wt.Words, capitals: np.ndarray, sets: dict[str, np.ndarray])
     width = np.append(w.start[1:], len(w.cps)) - w.end
     same = np.append((np.diff(w.line) == 0) & (np.diff(w.row) == 0), False)
     gap = same & ((width > 1) | (w.cps[after] == 0x9))
-    return {"linha_numero": numbered[of], "linha_marcador": marked[of], "linha_aberta": is_open[of], "lacunas": gap}
+    bar = (w.end - w.start == 1) & np.isin(w.last, (ord("|"), ord(";")))
+    semicolons = np.zeros(len(w.cps) + 1, np.int32)
+    np.cumsum(w.cps == ord(";"), out=semicolons[1:], dtype=np.int32)
+    inner = semicolons[w.end - 1] - semicolons[w.start]
+    columns = np.add.reduceat(gap + bar + inner, first) >= 2
+    return {"linha_numero": numbered[of], "linha_marcador": marked[of], "linha_aberta": is_open[of], "linha_tabela": columns[of]}
 
 
 def order_classes(w: wt.Words, own: np.ndarray) -> np.ndarray:
@@ -178,6 +185,7 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
         "variedade": content,
         "ngramas": pair | np.append(False, pair[:-1]),
         **line_values(w, cased, sets),
+        "extensao": np.minimum(visible, LONGEST) / LONGEST,
     }
     return w, language, own, values
 

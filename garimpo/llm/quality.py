@@ -1,7 +1,7 @@
 """Problem 1: statistics of each document's text, and how far it lies from prose.
 
 Every page is profiled in cells of eight words (``profile``), each statistic
-over the 40 words around (order of words: 72). From the cells of all pages
+over the 40 words around (order of words: 104). From the cells of all pages
 the mean and covariance of prose are estimated for each language, robustly:
 the start are cells near the medians in every statistic, then the estimate is
 repeated over the cells within a distance of the last one (concentration
@@ -33,7 +33,7 @@ from garimpo.llm.latest import latest_rows
 from garimpo.llm.spam import profiled
 from garimpo.workdir import materialize
 
-AROUND, ORDER_AROUND = 2, 4
+AROUND, ORDER_AROUND = 2, 6
 THRESHOLD, KEPT_DISTANCE, STEPS = 20.0, 30.0, 5
 SHARE = 0.5
 LEAST_CELLS = 300
@@ -41,7 +41,7 @@ LEAST_CELLS = 300
 SPREADS = {
     "funcionais": 0.03, "maiusculas": 0.08, "numericas": 0.06, "simbolos": 0.03, "fim_frase": 0.03, "fim_item": 0.05,
     "comprimento": 0.03, "linha_curta": 0.03, "estranhas": 0.05, "repetidas": 0.03, "ciclicas": 0.15,
-    "linha_numero": 0.15, "linha_marcador": 0.15, "linha_aberta": 0.2, "lacunas": 0.12, "ordem": 0.03,
+    "linha_numero": 0.15, "linha_marcador": 0.15, "linha_aberta": 0.2, "linha_tabela": 0.15, "ordem": 0.03,
 }
 NAMES = tuple(SPREADS)
 _ROOTS = ("maiusculas", "numericas", "simbolos")  # shares with a long tail in prose

@@ -27,7 +27,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of pages and of chunks that look the same but differ in code points."""
     pages = _read(spark, d, "pages_norm")
-    pages = pages.select(F.concat_ws("#", "id_documento", F.col("numero_pagina").cast("string")).alias("chave"), "texto_normalizado")
+    # null with a null part, and null keys are in no pair
+    pages = pages.select(F.concat("id_documento", F.lit("#"), F.col("numero_pagina").cast("string")).alias("chave"), "texto_normalizado")
     parts = [("pages_norm", pages, "chave", "texto_normalizado"), ("chunks", _read(spark, d, "chunks"), "id_chunk", "texto")]
     found = [lookalike.equal_looking_pairs(df, key, text).select(F.lit(name).alias("tabela"), "chave_a", "chave_b") for name, df, key, text in parts]
     return found[0].unionByName(found[1])
@@ -101,7 +102,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents stuffed with keywords, links, tags or product labels."""
-    return p8_shares(spark, d).where("caso").select("doc_id").distinct()
+    return p8_shares(spark, d).where("caso and doc_id is not null").select("doc_id").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -109,6 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
 }
 
+_TERMS = """
+        with t as (
+          select id_chunk, texto, id_carga from (select *, row_number() over (partition by id_chunk order by carregado_em desc nulls last, texto desc) rn from chunks where id_chunk is not null and texto is not null) where rn = 1),
+        w as (select id_chunk, id_carga, unnest(regexp_extract_all(replace(replace(lower(nfc_normalize(texto)), 'ß', 'ss'), 'ﬁ', 'fi'), '[\\p{L}\\p{N}]+')) term from t),
+        f as (select term, count(distinct id_chunk) chunks, count(*) ocorrencias from w group by term),
+        n as (select count(*) n from t),
+        m as (select f.*, case when chunks < 3 then 'rara' when chunks > n / 2.0::double then 'comum' end marca from f, n)"""
+
 SQL: dict[str, str] = {
     "p5_found": """
         with best as (
@@ -121,4 +130,10 @@ SQL: dict[str, str] = {
         select distinct id_chunk from chunks
         where length(texto) > 2000
            or length(regexp_replace(regexp_replace(texto, '[^\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', 'x', 'g'), '[^x]', '', 'g')) > 200""",
+    "p4_terms": f"{_TERMS} select term, chunks, ocorrencias, marca from m",
+    "p4_found": f"{_TERMS} select term, marca from m where marca is not null",
+    "p4_loads": f"""{_TERMS},
+        a as (select id_carga, count(distinct term) termos, count(distinct term || ' ' || id_chunk) postings, count(*) ocorrencias from w group by 1),
+        r as (select id_carga, max_by(total_termos, gerado_em) total_termos from relatorio_indexacao group by 1)
+        select coalesce(a.id_carga, r.id_carga) id_carga, termos, postings, ocorrencias, total_termos, termos is not distinct from total_termos confere from a full join r on a.id_carga = r.id_carga""",
 }

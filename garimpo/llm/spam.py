@@ -4,7 +4,7 @@ Every document is profiled in cells of eight words (``profile``): shares of
 function words, repeated words and pairs, link words, separators, prices and
 so on, over 24 words. The usual function-word and repetition shares of each
 language come from the cells of all documents; thresholds are set from them. A
-document is a case if more than half of its words stand in cells beyond them:
+document is a case if more than half of its characters stand in cells beyond them:
 
 * links and tags: many link words, few function words;
 * stuffing: content words or word pairs that come again within 24 words;
@@ -96,14 +96,14 @@ def spam_cells(table: np.ndarray, language: np.ndarray, usual: dict[str, list[fl
     ratio, words = _ratio(table), s["funcionais"]
     few = words < 0.55 * median
     clean = (s["estranhas"] < 0.1) & (s["maiusculas"] < 0.15)
-    stuffed = (ratio >= np.maximum(0.38, again + 0.3)) & (words < 0.8 * median)
+    stuffed = (ratio >= np.maximum(0.38, again + 0.3)) & (words < 0.8 * median) | (ratio >= np.clip(again + 0.45, 0.65, 0.9)) & (words < median)
     phrases = (ratio >= np.clip(again + 0.35, 0.55, 0.85)) & (s["ngramas"] >= 0.4) & (words < 1.05 * median)
     bare = (ratio >= 0.15) & (words < 0.35 * median) & clean & (s["maiusculas"] < 0.1) & (s["simbolos"] < 0.3) & (s["variedade"] > 0.7) & (s["fim_frase"] < 0.05)
     wordy = s["variedade"] > 0.3
     return {
         "ligacoes": (s["ligacoes"] >= 0.1) & few,
         "repeticao": wordy & (stuffed | phrases) & (s["numericas"] < 0.07) | bare & (s["numericas"] < 0.12),
-        "palavras_chave": (s["separadores"] >= 0.3) & few & clean & (s["numericas"] < 0.06) & (s["simbolos"] < 0.45) & (s["variedade"] > 0.5) & (s["linha_curta"] < 0.4),
+        "palavras_chave": (s["separadores"] + s["fim_frase"] >= 0.28) & (words < 0.65 * median) & clean & (s["numericas"] < 0.1) & (s["simbolos"] < 0.6) & (s["variedade"] > 0.45) & (s["linha_curta"] < 0.4),
         "produtos": (s["precos"] >= 0.06) & few,
     }
 
@@ -116,10 +116,10 @@ def spam_shares(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, table = pf.tables_of(batch.column(3))
-            size = table[:, -1].astype(float)
+            size = table[:, -1] * np.maximum(_column(table, "extensao"), 1 / pf.LONGEST)
             found = spam_cells(table, np.asarray(batch.column(1))[row], usual)
-            words = np.maximum(np.bincount(row, size, batch.num_rows), 1)
-            share = [np.bincount(row, size * hit, batch.num_rows) / words for hit in (np.any(list(found.values()), axis=0), *found.values())]
+            extent = np.maximum(np.bincount(row, size, batch.num_rows), 1e-9)
+            share = [np.bincount(row, size * hit, batch.num_rows) / extent for hit in (np.any(list(found.values()), axis=0), *found.values())]
             columns = [batch.column(0), batch.column(2), *(pa.array(x) for x in share), pa.array(share[0] > SHARE)]
             yield pa.RecordBatch.from_arrays(columns, [key, "palavras", "parte", *REASONS, "caso"])
 

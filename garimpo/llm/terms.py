@@ -116,8 +116,8 @@ def aggregate_partitions(spark: SparkSession, paths: list[str], memory: str = DU
                 with duckdb.connect(config=config) as con:
                     part = ds.dataset(where, filesystem=fs, format="parquet", exclude_invalid_files=False).scanner(batch_size=32_768).to_reader()
                     con.register("part", part)
-                    out = con.execute("select grupo, term, sum(chunks)::bigint chunks, sum(ocorrencias)::bigint ocorrencias from part group by all")
-                    yield from out.to_arrow_reader(20_000) if hasattr(out, "to_arrow_reader") else out.fetch_record_batch(20_000)
+                    total = con.sql("select grupo, term, sum(chunks)::bigint chunks, sum(ocorrencias)::bigint ocorrencias from part group by all")
+                    yield from total.to_arrow_reader(20_000)
 
     schema = T.StructType([T.StructField(n, k) for n, k in (("grupo", T.StringType()), ("term", T.StringType()), ("chunks", T.LongType()), ("ocorrencias", T.LongType()))])
     if not paths:

@@ -31,6 +31,7 @@ from garimpo.llm import codepoints as cp
 TOKENIZERS = "/opt/tokenizers"
 DEFAULT = "byte_bpe_50k"
 SEEN_WORDS = 150_000  # words whose ids a Python worker remembers
+LONG_TEXT = 1 << 20  # code points encoded at once of a single long text
 _SHIFT = np.int64(20)
 _NONE = np.int64(1) << 40
 
@@ -106,6 +107,26 @@ def pretoken_starts(t: cp.Texts) -> np.ndarray:
     return start[:n]
 
 
+def slices(t: cp.Texts, limit: int) -> Iterator[cp.Texts]:
+    """A run of rows as it is, or one long text in parts of about ``limit`` code points that encode as the whole does.
+
+    A blank between two visible characters starts a piece whatever stands
+    around it, so the text may be cut before it.
+    """
+    if t.rows != 1 or len(t.cps) <= 2 * limit:
+        yield t
+        return
+    space = _pattern_classes()[t.cps] == cp.SPACE
+    cuts = np.flatnonzero((t.cps[1:-1] == 0x20) & ~space[:-2] & ~space[2:]) + 1
+    wanted = np.arange(limit, len(t.cps), limit)
+    cuts = np.unique(cuts[np.minimum(np.searchsorted(cuts, wanted), len(cuts) - 1)]) if len(cuts) else cuts
+    lead = np.flatnonzero((t.raw & 0xC0) != 0x80)
+    edges = np.concatenate([[0], cuts, [len(t.cps)]])
+    bytes_at = np.append(lead, len(t.raw))[edges]
+    for a, b, x, y in zip(edges[:-1], edges[1:], bytes_at[:-1], bytes_at[1:]):
+        yield cp.Texts(t.raw[x:y], np.array([0, y - x]), t.cps[a:b], np.array([0, b - a]), t.valid)
+
+
 def merge_words(raw: np.ndarray, lengths: np.ndarray, m: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many words whose bytes stand one after the other; (ids, ids per word).
 
@@ -205,6 +226,12 @@ class Encoder:
 
     def id_lists(self, t: cp.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, row offsets)."""
+        if t.rows == 1 and len(t.cps) > 2 * LONG_TEXT:
+            flat = np.concatenate([self._ids(part)[0] for part in slices(t, LONG_TEXT)])
+            return flat, np.array([0, len(flat)])
+        return self._ids(t)
+
+    def _ids(self, t: cp.Texts) -> tuple[np.ndarray, np.ndarray]:
         place, bounds, counts = self.encode(t)
         ends = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=ends[1:])
@@ -214,6 +241,8 @@ class Encoder:
 
     def sizes(self, t: cp.Texts) -> np.ndarray:
         """Number of ids of each row."""
+        if t.rows == 1 and len(t.cps) > 2 * LONG_TEXT:
+            return np.array([sum(int(self.encode(part)[2].sum()) for part in slices(t, LONG_TEXT))])
         _, bounds, counts = self.encode(t)
         ends = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=ends[1:])
