@@ -1,0 +1,70 @@
+"""Normalisation, terms, queries and highlights, against the plain-Python meaning."""
+
+import re
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from garimpo.functions import formats
+from garimpo.functions import text as tx
+
+CASES = {
+    "di-\nvisão": "divisão",
+    "ab- \ncd": "ab-\ncd",
+    "a  \t b": "a b",
+    "x\r\ny\rz": "x\ny\nz",
+    "a\n\n\n\nb": "a\n\nb",
+    "a​b": "a b",
+    "é-\né": "éé",
+    "a-\nb-\nc": "abc",
+    "\xa0 x\xa0y \xa0": "x\xa0y",
+    "é": "é",
+    "": "",
+    None: "",
+}
+
+
+def one(spark, values, column):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    return [r[0] for r in rows.orderBy("i").select(column).collect()]
+
+
+def test_normalize(spark):
+    assert one(spark, CASES, tx.normalize_text(F.col("t"))) == list(CASES.values())
+
+
+def test_terms(spark):
+    values = ["snake_case 12ª Straße ﬁm", "BOLSA bolsa Critério CRITÉRIO", "", None, "²½ Ⅳ x́y", "ΣΑΣ ǅ İ"]
+    expected = [re.findall(r"[^\W_]+", unicodedata.normalize("NFC", v or "").casefold()) for v in values]
+    assert one(spark, values, tx.terms(F.col("t"))) == expected
+    assert expected[0] == ["snake", "case", "12ª", "strasse", "fim"]
+
+
+def test_white_space_is_pythons(spark):
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    text = "".join(f"a{c}" for c in spaces)
+    assert one(spark, [text], F.size(tx.words(F.col("t")))) == [len(text.split())]
+    assert one(spark, ["".join(spaces)], tx.is_blank(F.col("t"))) == [True]
+
+
+def test_query_terms():
+    tokens, removed, left, distinct = tx.query_terms("critérios para atribuição de bolsas e requisitos de matrícula")
+    assert (len(tokens), removed) == (9, ["para", "de", "e", "de"])
+    assert distinct == left == ["critérios", "atribuição", "bolsas", "requisitos", "matrícula"]
+    assert tx.query_terms("BOLSA bolsa Bolsa critério CRITÉRIO")[3] == ["bolsa", "critério"]
+    assert tx.query_terms("de da do para")[3] == tx.query_terms("")[3] == tx.query_terms("!!! ---")[3] == []
+    assert len(tx.STOP_WORDS) == len(set(tx.STOP_WORDS)) == 207
+
+
+def test_highlight(spark):
+    tokens = F.array(F.lit("ação"), F.lit("de"))
+    assert one(spark, ["Ação, de açãoX", None], tx.highlight(F.col("t"), tokens)) == ["<mark>Ação</mark>, <mark>de</mark> açãoX", ""]
+    assert one(spark, ["aÇão (ação)"], tx.highlight_substring(F.col("t"), "ação")) == ["<mark>aÇão</mark> (<mark>ação</mark>)"]
+    assert one(spark, ["a.b axb"], tx.highlight_substring(F.col("t"), "a.b")) == ["<mark>a.b</mark> axb"]
+
+
+@pytest.mark.parametrize(("value", "places", "shown"), [(1234567.891, 2, "1.234.567,89"), (0.5, 1, "0,5"), (None, 2, "—")])
+def test_decimal_comma(spark, value, places, shown):
+    df = spark.createDataFrame([(value,)], "x double")
+    assert df.select(formats.decimal_comma(F.col("x"), places)).first()[0] == shown
