@@ -215,7 +215,7 @@ def document_quality(pages: DataFrame, key: str = "id_documento", page: str = "n
             distance, parts = distances(x, language, prose)
             out = distance > THRESHOLD
             n = batch.num_rows
-            columns = [np.bincount(row, v, n) for v in (words, words * out, words * distance, *(words * parts.T))]
+            columns = [np.bincount(row, v, n).astype(float) for v in (words, words * out, words * distance, *(words * parts.T))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], [key, *names])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -125,7 +125,7 @@ def word_table(t: cp.Texts) -> Words:
     letters, digits = total(letter), total(digit)
     return Words(
         t.rows, cps, row, start, end,
-        np.cumsum(cps == 0xA, dtype=np.int32)[start] if n else start,
+        np.cumsum(cps == 0xA, dtype=np.int64)[start] + row if n else start,  # each row starts a line
         letters, digits, (end - start) - letters - digits - total(kind == cp.MARK),
         total(is_upper), has & is_upper[np.minimum(first, max(n - 1, 0))] if n else has,
         cps[end - 1], hash_spans(low[cps], first, np.where(has, last - first, 0)),
