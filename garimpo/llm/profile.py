@@ -160,7 +160,8 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
     pair = near_repeats(w, wt.shingle_keys(w, 2), np.append(~row_change[1:], False) & (w.core != 0), NEAR)
     cyclic = passages(w, PASSAGE, 3)
     bullet = (c[w.start] == 0xBB) & (visible == 1)
-    after_bullet = np.append(False, bullet[:-1]) | np.append([False, False], bullet[:-2])[:n]
+    second = np.append([True], row_change[:-1]) | row_change
+    after_bullet = np.append(False, bullet[:-1]) & ~row_change | np.append([False, False], bullet[:-2])[:n] & ~second
     link = url | tag | markup | bullet | (after_bullet & (own < 0))
     symbol_only = (w.letters + w.digits == 0) & (w.marks <= 2)
     separated = symbol_only | sets["separator"][w.last]
@@ -202,7 +203,8 @@ def profile(t: cp.Texts, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n:
         total = np.maximum(c.sums(np.ones(len(w.row))), 1)
         for j, name in enumerate(STATISTICS):
-            out[:, j] = np.rint(c.sums(values[name]) / total * 255)
+            # whole numbers add up to the same sum in any batch
+            out[:, j] = np.rint(c.sums(np.rint(values[name] * 255.0)) / total)
         out[:, -1] = c.words
     counts = np.bincount(w.row, minlength=w.rows)
     cells_of = np.concatenate([[0], np.cumsum(np.bincount(c.row, minlength=w.rows))]).astype(np.int64)

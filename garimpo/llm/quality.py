@@ -100,7 +100,8 @@ def cell_values(language: pa.Array, perfil: pa.Array, classes: pa.Array, order:
     score = np.zeros(len(number))
     if len(number) > 1:
         tongue, a, b, same, broken = _pairs(at, number, lang)
-        score[:-1] = np.where(same, np.clip(np.where(broken, -3, order[tongue, a, b]), -3, 1), 0)
+        # in whole 1/256, so that sums don't depend on the batch
+        score[:-1] = np.where(same, np.rint(np.clip(np.where(broken, -3, order[tongue, a, b]), -3, 1) * 256) / 256, 0)
     words = table[:, -1].astype(float)
     first = np.concatenate([[0], np.cumsum(table[:, -1], dtype=np.int64)])[:-1]
     total = np.concatenate([[0], np.cumsum(np.add.reduceat(score, first))])
