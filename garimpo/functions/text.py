@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 # White space as str.split and str.strip see it.
 WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS_IN_LINE = WS.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
 TERM = r"[\p{L}\p{N}]+"
 WORD = f"[^{WS}]+"
 ZERO_WIDTH_SPACE = "​"
@@ -70,7 +71,7 @@ def normalize_text(text: Column) -> Column:
     t = F.replace(t, F.lit(ZERO_WIDTH_SPACE), F.lit(" "))
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])-\n(?=[\p{L}\p{N}_])", "")
-    t = F.array_join(F.transform(F.split(t, "\n"), lambda line: strip(F.regexp_replace(line, r"[ \t]+", " "))), "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), f"[{WS_IN_LINE}]*\n[{WS_IN_LINE}]*", "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 

@@ -32,14 +32,19 @@ def chunk_texts(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: i
     step = size - overlap
     parts = df.select(key, tx.spaced_words(tx.strip(F.coalesce(F.col(text), F.lit("")))).alias("__w"))
     parts = parts.withColumn("__n", F.size("__w")).where("__n > 0")
-    windows = parts.select(key, "__w", "__n", F.explode(F.sequence(F.lit(0), last_window(F.col("__n"), size, overlap))).alias("__k"))
-    start = F.col("__k") * step
-    windows = windows.withColumns({"inicio_palavra": start, "fim_palavra": F.least(start + size, F.col("__n"))})
-    span = F.slice("__w", F.col("inicio_palavra") + 1, F.col("fim_palavra") - F.col("inicio_palavra"))
-    windows = windows.withColumn("texto", tx.strip(F.array_join(span, "")))
+
+    def window(k: Column) -> Column:
+        start = k * step
+        end = F.least(start + size, F.col("__n"))
+        span = F.array_join(F.slice("__w", start + 1, end - start), "")
+        return F.struct((k + 1).alias("ordem"), start.alias("de"), end.alias("ate"), tx.strip(span).alias("texto"))
+
+    # windows are made inside the row: exploding them later copies their texts, not the words of the whole text
+    made = F.transform(F.sequence(F.lit(0), last_window(F.col("__n"), size, overlap)), window)
+    windows = parts.select(key, F.explode(made).alias("x"))
     return windows.select(
-        key, (F.col("__k") + 1).alias("ordem_chunk_documento"), "inicio_palavra", "fim_palavra",
-        (F.col("fim_palavra") - F.col("inicio_palavra")).alias("quantidade_palavras"), F.length("texto").alias("quantidade_caracteres"), "texto",
+        key, F.col("x.ordem").alias("ordem_chunk_documento"), F.col("x.de").alias("inicio_palavra"), F.col("x.ate").alias("fim_palavra"),
+        (F.col("x.ate") - F.col("x.de")).alias("quantidade_palavras"), F.length("x.texto").alias("quantidade_caracteres"), F.col("x.texto").alias("texto"),
     )
 
 

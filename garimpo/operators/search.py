@@ -114,9 +114,17 @@ def batch_search(index: Index, queries: DataFrame, k: int = 5, metric: str = "bm
     """
     check_parameters(k, k1, b, metric)
     distinct = queries.where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.min("ord").alias("ord"))
-    frequencies = index.postings.join(distinct.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    matches = distinct.join(frequencies, "term").join(index.postings, "term")
-    scored = score_matches(index, matches, metric, k1, b, ["query_id"]).where("score > 0")
+    asked = index.postings.join(distinct.select("term").distinct(), "term", "left_semi")
+    if metric == "bm25":
+        # a posting's weight is the same in every query: it is worked out once for each posting
+        frequencies = asked.groupBy("term").agg(F.count("*").alias("df"))
+        weighed = asked.join(frequencies, "term").join(index.lengths, "id_chunk")
+        weight = idf(F.lit(index.n), F.col("df")) * tf_weight(F.col("tf"), F.col("dl"), F.lit(float(index.mean_length)), k1, b)
+        total = F.round(F.sum("part"), 4)
+    else:
+        weighed, weight, total = asked, F.col("tf"), F.sum("part")
+    matches = distinct.select("query_id", "term").join(weighed.select("term", "id_chunk", weight.alias("part")), "term")
+    scored = matches.groupBy("query_id", "id_chunk").agg(total.alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id_chunk"))
     ranked = scored.withColumn("posicao", F.row_number().over(order))
     return (ranked.where(F.col("posicao") <= k) if k else ranked).select("query_id", "posicao", "id_chunk", "score")
