@@ -30,6 +30,7 @@ from garimpo.workdir import new_path
 RARE_BELOW, COMMON_SHARE = 3, 0.5
 RADIX_BITS, RADIX_MAX = 4, 60  # bits of one split; bits of the hash that can be used
 PARTITION_BYTES = 64 << 20
+FILE_BYTES = 2_000  # header and footer of a file and of its checksum
 DUCKDB_MEMORY = "192MB"
 _TERM = re.compile(r"[^\W_]+")
 
@@ -72,11 +73,12 @@ def _bits(level: int, bits: int) -> Column:
 
 
 def _sizes(spark: SparkSession, path: str) -> dict[str, int]:
-    """Bytes of each partition folder under ``path``."""
+    """Bytes of each partition folder under ``path``, less what each file has besides its rows."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders = [s.getPath() for s in fs.listStatus(target) if s.isDirectory()]
-    return {p.toString(): fs.getContentSummary(p).getLength() for p in folders}
+    sums = {p.toString(): fs.getContentSummary(p) for p in folders}
+    return {p: c.getLength() - FILE_BYTES * c.getFileCount() for p, c in sums.items()}
 
 
 def radix_partitions(counts: DataFrame, limit: int = PARTITION_BYTES, bits: int = RADIX_BITS) -> list[str]:
@@ -89,8 +91,11 @@ def radix_partitions(counts: DataFrame, limit: int = PARTITION_BYTES, bits: int
         spread = part.withColumn("balde", _bits(level, bits))
         # a bucket is written by several tasks: none has to hold all of it
         spread.repartition("balde", F.pmod(F.xxhash64("term", F.lit(level)), F.lit(4))).write.partitionBy("balde").parquet(path)
-        for folder, size in _sizes(spark, path).items():
-            if size > limit and bits * (level + 2) <= RADIX_MAX:
+        sizes = _sizes(spark, path)
+        for folder, size in sizes.items():
+            # a partition that the last split left whole holds one term: its few rows a batch stay together
+            whole = level > 0 and len(sizes) == 1
+            if size > limit and not whole and bits * (level + 2) <= RADIX_MAX:
                 todo.append((spark.read.schema(schema).parquet(folder), level + 1))
             else:
                 final.append(folder)

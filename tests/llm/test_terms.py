@@ -33,7 +33,7 @@ def plain():
     return {t: (chunks[t], times[t]) for t in times}, len(latest), latest
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 3000])
+@pytest.mark.parametrize("limit", [1 << 30, 300])
 def test_counts(spark, limit):
     df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
     got = {r["term"]: (r["chunks"], r["ocorrencias"]) for r in tm.term_frequencies(df, limit=limit).collect()}
@@ -44,7 +44,7 @@ def test_counts(spark, limit):
 def test_splits_oversized_partitions(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     counts = tm.partial_counts(tm.latest_texts(df, "id_chunk", "texto", "carregado_em"), "texto", None)
-    whole, split = tm.radix_partitions(counts, 1 << 30), tm.radix_partitions(counts, 900)
+    whole, split = tm.radix_partitions(counts, 1 << 30), tm.radix_partitions(counts, 300)
     assert len(whole) <= 16 < len(split)
     assert any(p.count("balde=") == 1 and "radix1" in p for p in split)
 
