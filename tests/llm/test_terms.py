@@ -33,7 +33,7 @@ def plain():
     return {t: (chunks[t], times[t]) for t in times}, len(latest), latest
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 300])
+@pytest.mark.parametrize("limit", [1 << 30, 2000])
 def test_counts(spark, limit):
     df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
     got = {r["term"]: (r["chunks"], r["ocorrencias"]) for r in tm.term_frequencies(df, limit=limit).collect()}
@@ -42,11 +42,18 @@ def test_counts(spark, limit):
 
 
 def test_splits_oversized_partitions(spark):
-    df = spark.createDataFrame(rows(), SCHEMA)
-    counts = tm.partial_counts(tm.latest_texts(df, "id_chunk", "texto", "carregado_em"), "texto", None)
-    whole, split = tm.radix_partitions(counts, 1 << 30), tm.radix_partitions(counts, 300)
-    assert len(whole) <= 16 < len(split)
-    assert any(p.count("balde=") == 1 and "radix1" in p for p in split)
+    counts = spark.sql("select cast(null as string) grupo, concat('termo', id div 2) term, 1L chunks, id ocorrencias from range(40000)")
+    whole, split = tm.radix_partitions(counts, 1 << 30), tm.radix_partitions(counts, 60_000, bits=2)
+    assert len(whole) == 16 and len(split) > 4 and any("radix1" in p for p in split)
+    for paths in (whole, split):
+        got = tm.aggregate_partitions(spark, paths)
+        assert got.count() == 20000 and got.where("chunks != 2 or ocorrencias != 4 * cast(substr(term, 6) as bigint) + 1").count() == 0
+
+
+def test_one_term_is_not_split_for_ever(spark):
+    counts = spark.sql("select cast(null as string) grupo, 'de' term, 1L chunks, id ocorrencias from range(40000)")
+    paths = tm.radix_partitions(counts, 1000)
+    assert len(paths) == 1 and tm.aggregate_partitions(spark, paths).first()["chunks"] == 40000
 
 
 def test_groups(spark):
