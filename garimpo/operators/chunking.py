@@ -30,7 +30,8 @@ def chunk_texts(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: i
     """
     check_window(size, overlap)
     step = size - overlap
-    parts = df.select(key, tx.spaced_words(tx.strip(F.coalesce(F.col(text), F.lit("")))).alias("__w"))
+    # one-element explosion: a filter on the words would otherwise be pushed below and extract them a second time
+    parts = df.select(key, F.explode(F.array(tx.spaced_words(tx.strip(F.coalesce(F.col(text), F.lit("")))))).alias("__w"))
     parts = parts.withColumn("__n", F.size("__w")).where("__n > 0")
 
     def window(k: Column) -> Column:
