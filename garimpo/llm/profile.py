@@ -20,6 +20,7 @@ CELL = 8
 NEAR = 24  # words within which a repeated word counts as stuffed
 LONGEST = 128  # characters of a word that count for its extent
 PASSAGE = 8  # words of a repeated passage
+UNIT = 1 << 20  # a value of 1 in the exact sums of a row
 STATISTICS = (
     "funcionais", "maiusculas", "numericas", "simbolos", "fim_frase", "fim_item", "comprimento", "linha_curta",
     "estranhas", "repetidas", "ciclicas", "ligacoes", "separadores", "precos", "variedade", "ngramas",
@@ -191,10 +192,11 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
     return w, language, own, values
 
 
-def profile(t: cp.Texts, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(language of each row, words of each row, word classes, cell offsets of the rows, cells x statistics as bytes).
+def profile(t: cp.Texts, around: int, sums: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language of each row, words of each row, word classes, cell offsets of the rows, cells x statistics as bytes, rows x statistics).
 
-    The last column of the table is the number of words of the cell.
+    The last column of the table of cells is the number of words of the cell; with
+    ``sums`` the rows have the sums over their words, in whole ``UNIT`` parts.
     """
     w, language, own, values = word_flags(t)
     c = wt.cells(w, CELL, around)
@@ -208,26 +210,30 @@ def profile(t: cp.Texts, around: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         out[:, -1] = c.words
     counts = np.bincount(w.row, minlength=w.rows)
     cells_of = np.concatenate([[0], np.cumsum(np.bincount(c.row, minlength=w.rows))]).astype(np.int64)
-    return language, counts, order_classes(w, own), cells_of, out
+    totals = np.zeros((w.rows, N_STATS), np.int64)
+    for j, name in enumerate(STATISTICS if sums else ()):
+        totals[:, j] = np.bincount(w.row, np.rint(values[name] * float(UNIT)), w.rows)
+    return language, counts, order_classes(w, own), cells_of, out, totals
 
 
 def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
-def profile_arrays(col: pa.Array, around: int) -> list[pa.Array]:
-    """[language number, words, profile, word classes] of a string column."""
-    languages, counts, blobs, classes = [], [], [], []
+def profile_arrays(col: pa.Array, around: int, sums: bool = False) -> list[pa.Array]:
+    """[language number, words, profile, word classes] of a string column, with ``sums`` also the exact sums of each row."""
+    languages, counts, blobs, classes, totals = [], [], [], [], []
     for _, t in cp.spans(col):
-        language, words, own, cells_of, table = profile(t, around)
+        language, words, own, cells_of, table, total = profile(t, around, sums)
+        totals.append(_binary(np.arange(len(total) + 1) * (8 * N_STATS), total))
         languages.append(language), counts.append(words)
         blobs.append(_binary(cells_of * (N_STATS + 1), table))
         classes.append(_binary(np.concatenate([[0], np.cumsum(words)]), own))
     if not blobs:
-        return [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())]
+        return [pa.array([], pa.int32()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * (2 + sums)]
     return [
         pa.array(np.concatenate(languages).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int64)),
-        pa.concat_arrays(blobs), pa.concat_arrays(classes),
+        pa.concat_arrays(blobs), pa.concat_arrays(classes), *[pa.concat_arrays(totals)] * sums,
     ]
 
 
@@ -244,3 +250,8 @@ def tables_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at, raw = bytes_of(col)
     step = N_STATS + 1
     return np.repeat(np.arange(len(col)), np.diff(at) // step), raw.reshape(-1, step)
+
+
+def sums_of(col: pa.Array) -> np.ndarray:
+    """Rows x statistics, from a column of exact sums."""
+    return bytes_of(col)[1].view(np.int64).reshape(-1, N_STATS)

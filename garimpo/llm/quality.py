@@ -15,10 +15,17 @@ chance, counted over all pages of the language.
 Of a page loaded more than once the latest counts. Null documents, null, empty
 and blank pages count nowhere; a document without words is no case. Languages
 with few cells take the estimate of all.
+
+``document_statistics`` gives every document of the pages, the chunks and the
+report: what its chunks really hold, the mean of each statistic over its words, and
+the above. The text of a document without a page that has words is that of its
+chunks (words in their overlap count twice), judged by the estimate of the pages.
+A chunk is a distinct id; of its rows the latest with a text counts.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -27,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.llm import codepoints as cp
 from garimpo.llm import profile as pf
 from garimpo.llm import wordtable as wt
 from garimpo.llm.latest import latest_rows
 from garimpo.llm.spam import profiled
+from garimpo.llm.terms import latest_texts
 from garimpo.workdir import materialize
 
 AROUND, ORDER_AROUND = 2, 6
@@ -89,6 +98,16 @@ def order_table(profiles: DataFrame) -> np.ndarray:
     return np.log((counts + 1) / (chance + 1))
 
 
+def order_scores(language: np.ndarray, classes: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row offsets, score of each word and the next, in whole 1/256 so that sums don't depend on the batch)."""
+    at, number = pf.bytes_of(classes)
+    score = np.zeros(len(number))
+    if len(number) > 1:
+        tongue, a, b, same, broken = _pairs(at, number, language)
+        score[:-1] = np.where(same, np.rint(np.clip(np.where(broken, -3, order[tongue, a, b]), -3, 1) * 256) / 256, 0)
+    return at, score
+
+
 def cell_values(language: pa.Array, perfil: pa.Array, classes: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, language, words, statistics) of every cell of a batch."""
     row, table = pf.tables_of(perfil)
@@ -96,12 +115,7 @@ def cell_values(language: pa.Array, perfil: pa.Array, classes: pa.Array, order:
     n = len(row)
     if n == 0:
         return row, np.zeros(0, int), np.zeros(0), np.zeros((0, len(NAMES)))
-    at, number = pf.bytes_of(classes)
-    score = np.zeros(len(number))
-    if len(number) > 1:
-        tongue, a, b, same, broken = _pairs(at, number, lang)
-        # in whole 1/256, so that sums don't depend on the batch
-        score[:-1] = np.where(same, np.rint(np.clip(np.where(broken, -3, order[tongue, a, b]), -3, 1) * 256) / 256, 0)
+    _, score = order_scores(lang, classes, order)
     words = table[:, -1].astype(float)
     first = np.concatenate([[0], np.cumsum(table[:, -1], dtype=np.int64)])[:-1]
     total = np.concatenate([[0], np.cumsum(np.add.reduceat(score, first))])
@@ -201,29 +215,83 @@ def fit_prose(profiles: DataFrame, order: np.ndarray) -> Prose:
     return prose
 
 
-def document_quality(pages: DataFrame, key: str = "id_documento", page: str = "numero_pagina", text: str = "texto_normalizado", when: str = "carregado_em") -> DataFrame:
-    """For each document: palavras, palavras_fora, parte, distancia (mean), a contribution for each statistic, caso."""
+def _page_texts(pages: DataFrame, key: str, page: str, text: str, when: str) -> DataFrame:
+    """The latest row of each page that has a text."""
     rows = pages.where(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0)).select(key, page, text, when)
-    rows = latest_rows(rows, [key, page], when, [F.col(text)])
-    profiles = materialize(profiled(rows, key, text, AROUND), "perfis")
-    order = order_table(profiles)
-    prose = fit_prose(profiles, order)
-    names = ["palavras", "palavras_fora", "__distancia", *(f"__{n}" for n in NAMES)]
+    return latest_rows(rows, [key, page], when, [F.col(text)])
+
+
+def _scored(profiles: DataFrame, key: str, order: np.ndarray, prose: Prose) -> DataFrame:
+    """For each key with words what document_quality gives; of profiles with sums also the mean of each statistic."""
+    sums = "somas" in profiles.columns
+    weighed = ["palavras", "palavras_fora", "__distancia", *(f"__{n}" for n in NAMES)]
+    summed = [f"__soma_{n}" for n in NAMES] * sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, language, words, x = cell_values(*batch.columns[1:], order)
+            row, language, words, x = cell_values(*batch.columns[1:4], order)
             distance, parts = distances(x, language, prose)
             out = distance > THRESHOLD
             n = batch.num_rows
             columns = [np.bincount(row, v, n).astype(float) for v in (words, words * out, words * distance, *(words * parts.T))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], [key, *names])
-
-    kind = pages.schema[key].dataType.simpleString()
-    scored = profiles.select(key, "lingua", "perfil", "classes").mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` double" for n in names))
-    total = scored.groupBy(key).agg(*(F.sum(n).alias(n) for n in names)).where("palavras > 0")
+            if sums:
+                at, score = order_scores(np.asarray(batch.column(1)), batch.column(3), order)
+                ordered = np.bincount(np.repeat(np.arange(n), np.diff(at)), score * pf.UNIT, n)
+                columns += [*pf.sums_of(batch.column(4))[:, _COLUMNS].T, ordered.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], [key, *weighed, *summed])
+
+    kind = profiles.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, " + ", ".join([*(f"`{n}` double" for n in weighed), *(f"`{n}` bigint" for n in summed)])
+    scored = profiles.select(key, "lingua", "perfil", "classes", *["somas"] * sums).mapInArrow(run, schema)
+    total = scored.groupBy(key).agg(*(F.sum(n).alias(n) for n in weighed + summed)).where("palavras > 0")
     share = F.col("palavras_fora") / F.col("palavras")
     return total.select(
         key, F.col("palavras").cast("bigint"), F.col("palavras_fora").cast("bigint"), share.alias("parte"), (F.col("__distancia") / F.col("palavras")).alias("distancia"),
+        *((F.col(f"__soma_{n}") / F.lit(float(pf.UNIT)) / F.col("palavras")).alias(f"media_{n}") for n in NAMES * sums),
         *((F.col(f"__{n}") / F.col("palavras")).alias(f"contribuicao_{n}") for n in NAMES), (share > SHARE).alias("caso"),
     )
+
+
+def document_quality(pages: DataFrame, key: str = "id_documento", page: str = "numero_pagina", text: str = "texto_normalizado", when: str = "carregado_em") -> DataFrame:
+    """For each document: palavras, palavras_fora, parte, distancia (mean), a contribution for each statistic, caso."""
+    profiles = materialize(profiled(_page_texts(pages, key, page, text, when), key, text, AROUND), "perfis")
+    order = order_table(profiles)
+    return _scored(profiles, key, order, fit_prose(profiles, order))
+
+
+def _chunk_sizes(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Chunks, words (runs without white space) and characters (code points) of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, t in cp.spans(batch.column(1)):
+                words.append(np.bincount(cp.words(t)[2], minlength=t.rows))
+                size.append(np.diff(t.off))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(words)), pa.array(np.concatenate(size))], [key, "p", "c"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    sizes = texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, p bigint, c bigint")
+    return sizes.groupBy(key).agg(F.count("*").alias("quantidade_chunks"), F.sum("p").alias("quantidade_palavras"), F.sum("c").alias("quantidade_caracteres"))
+
+
+def document_statistics(pages: DataFrame, chunks: DataFrame, report: DataFrame, key: str = "id_documento") -> DataFrame:
+    """Every document of the three tables: quantidade_chunks, quantidade_palavras and quantidade_caracteres of its chunks,
+    the mean of each statistic, and what document_quality gives.
+
+    The means are shares of the words, but comprimento (letters in 20, each word
+    20 at most) and ordem (log ratio). Without words they are null, as are parte, distancia and the contributions.
+    """
+    of_pages = materialize(profiled(_page_texts(pages, key, "numero_pagina", "texto_normalizado", "carregado_em"), key, "texto_normalizado", AROUND, True), "perfis")
+    texts = latest_texts(chunks, "id_chunk", "texto", "carregado_em", [key]).where(F.col(key).isNotNull())
+    sizes = materialize(_chunk_sizes(texts, key, "texto"), "tamanhos")
+    unpaged = materialize(sizes.select(key).join(of_pages.where("palavras > 0").select(key).distinct(), key, "left_anti"), "sem_paginas")
+    of_chunks = profiled(texts.join(unpaged, key, "left_semi"), key, "texto", AROUND, True)
+    profiles = materialize(of_pages.unionByName(of_chunks), "perfis") if not unpaged.isEmpty() else of_pages
+    fitted = profiles if of_pages.where("palavras > 0").isEmpty() else of_pages
+    order = order_table(fitted)
+    stats = _scored(profiles, key, order, fit_prose(fitted, order))
+    ids = functools.reduce(DataFrame.unionByName, (df.where(F.col(key).isNotNull()).select(key).distinct() for df in (pages, chunks, report))).distinct()
+    counts = [*sizes.columns[1:], "palavras", "palavras_fora"]
+    out = ids.join(sizes, key, "left").join(stats, key, "left").fillna(0, counts).fillna(False, ["caso"])
+    return out.select(key, *counts, *stats.columns[3:])

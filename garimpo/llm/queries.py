@@ -15,13 +15,13 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of every document's text: words outside prose, distance, contribution of each statistic."""
-    return quality.document_quality(_read(spark, d, "pages_norm"))
+    """Every document of pages, chunks and report: its chunks counted anew, mean and contribution of each statistic, words outside prose."""
+    return quality.document_statistics(*(_read(spark, d, t) for t in ("pages_norm", "chunks", "relatorio_chunking")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents most of whose words stand in lists, tables or junk."""
-    return p1_documents(spark, d).where("caso").select("id_documento")
+    return quality.document_quality(_read(spark, d, "pages_norm")).where("caso").select("id_documento")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -44,14 +44,16 @@ def _ratio(table: np.ndarray) -> np.ndarray:
     return np.minimum(_column(table, "repetidas") / np.maximum(_column(table, "variedade"), 0.01), 1)
 
 
-def profiled(df: DataFrame, key: str, text: str, around: int) -> DataFrame:
-    """(key, lingua, palavras, perfil, classes) of every row; a map without any shuffle."""
+def profiled(df: DataFrame, key: str, text: str, around: int, sums: bool = False) -> DataFrame:
+    """(key, lingua, palavras, perfil, classes) of every row, with ``sums`` also somas; a map without any shuffle."""
+    made = T.StructType.fromDDL("lingua int, palavras bigint, perfil binary, classes binary" + ", somas binary" * sums)
+    names = [key, *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *pf.profile_arrays(batch.column(1), around)], [key, "lingua", "palavras", "perfil", "classes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *pf.profile_arrays(batch.column(1), around, sums)], names)
 
-    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("lingua int, palavras bigint, perfil binary, classes binary").fields])
+    schema = T.StructType([df.schema[key], *made.fields])
     return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 

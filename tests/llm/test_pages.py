@@ -96,6 +96,36 @@ def test_documents_empty(pages):
     assert quality.document_quality(pages.where("id_documento = 'prosa_larga'")).count() == 1
 
 
+def test_statistics_of_every_document(spark, pages):
+    report = spark.createDataFrame([("vazio",), ("so_relatorio",), ("so_relatorio",), (None,)], "id_documento string")
+    r = random.Random(13)
+    long, rows = table(r, 60), []
+    rows += [("c1", "prosa_larga", "um  dois\ntrês", 1), ("c1", "prosa_larga", "um dois", 2), ("c2", "prosa_larga", "​ é", 1), ("c3", "prosa_larga", None, 1), (None, "prosa_larga", "x", 1)]
+    rows += [("c4", "so_chunks", long, 1), ("c5", "so_chunks", long, 1), ("c6", "so_nulos", None, 1), ("c7", "vazio", " ", 1)]
+    chunks = spark.createDataFrame(rows, "id_chunk string, id_documento string, texto string, carregado_em int")
+    whole = pages.unionByName(spark.createDataFrame([("contado", 1, "Uma casa.\nDuas 22", 1, "x")], pages.schema))
+    listed = quality.document_statistics(whole, chunks, report).collect()
+    got = {d["id_documento"]: d for d in listed}
+    plain = {d["id_documento"]: d for d in quality.document_quality(whole).collect()}
+    assert len(listed) == len(got) and set(got) == set(plain) | {"vazio", "branco", "so_relatorio", "so_chunks", "so_nulos"}
+    assert all(got[d][c] == row[c] for d, row in plain.items() for c in ("palavras", "palavras_fora", "caso"))
+
+    def sizes(d):
+        return tuple(got[d][f"quantidade_{n}"] for n in ("chunks", "palavras", "caracteres"))
+
+    assert sizes("prosa_larga") == (2, 4, 10) and sizes("vazio") == (1, 0, 1) and sizes("so_chunks") == (2, 2 * len(long.split()), 2 * len(long))
+    assert sizes("branco") == sizes("so_relatorio") == sizes("so_nulos") == (0, 0, 0)
+    for d in ("vazio", "branco", "so_relatorio", "so_nulos"):
+        assert got[d]["palavras"] == 0 and got[d]["caso"] is False and got[d]["media_simbolos"] is None and got[d]["distancia"] is None
+    assert got["so_chunks"]["caso"] and got["so_chunks"]["palavras"] == 2 * len(long.split())
+    counted = got["contado"]
+    assert counted["palavras"] == 4 and counted["media_numericas"] == 0.25 and counted["media_fim_frase"] == 0.25 and counted["media_funcionais"] == 0.25
+    assert counted["media_comprimento"] * 20 == pytest.approx((3 + 4 + 4 + 0) / 4, abs=1e-4)
+    none = quality.document_statistics(pages.limit(0), chunks, report).collect()
+    assert {d["id_documento"] for d in none} == {"prosa_larga", "so_chunks", "so_nulos", "vazio", "so_relatorio"}
+    assert quality.document_statistics(pages.limit(0), chunks.limit(0), report.limit(0)).count() == 0
+
+
 KEYS = ["tcc pronto", "diploma rápido", "curso grátis", "vaga remota", "seguro viagem"]
 MODIFIERS = ["promoção", "barato", "download", "2025", "perto de mim", "melhor preço"]
 
