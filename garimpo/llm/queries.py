@@ -35,9 +35,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent form of every chunk's text."""
-    formed = lookalike.with_consistent_form(_read(spark, d, "chunks"), "texto", ["id_chunk", "carregado_em"])
-    return formed.select("id_chunk", "carregado_em", "forma")
+    """The consistent form of every page's and every chunk's text; each version of a row has its own."""
+    page = F.concat("id_documento", F.lit("#"), F.col("numero_pagina").cast("string"))  # null with a null part
+    parts = [("pages_norm", page, "texto_normalizado"), ("chunks", F.col("id_chunk"), "texto")]
+    formed = [lookalike.with_consistent_form(_read(spark, d, name).withColumn("chave", key), text, ["chave", "carregado_em"]) for name, key, text in parts]
+    named = [df.select(F.lit(name).alias("tabela"), "chave", "carregado_em", "forma") for (name, _, _), df in zip(parts, formed)]
+    return named[0].unionByName(named[1])
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

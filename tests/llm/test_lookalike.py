@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from garimpo.llm import codepoints as cp
 from garimpo.llm import lookalike as lk
+from garimpo.llm import queries
 
 SPACES = set(map(chr, cp.WHITE_SPACE))
 
@@ -70,3 +71,17 @@ def test_copies_cost_no_pairs(spark):
     """A third of the rows in one spelling meets only the few rows of another."""
     rows = [(f"k{i}", "mesmo texto") for i in range(3000)] + [("x", "mesmo texto")]
     assert lk.equal_looking_pairs(spark.createDataFrame(rows, "k string, t string"), "k", "t").count() == 3000
+
+
+def test_forms_of_pages_and_chunks(spark, tmp_path):
+    pages = [("d1", 1, "а\xa0 ção", 1), ("d1", 1, "ação", 2), ("d1", 2, None, 1), ("d2", None, "fim", 1)]
+    spark.createDataFrame(pages, "id_documento string, numero_pagina int, texto_normalizado string, carregado_em int").write.parquet(f"{tmp_path}/pages_norm.parquet")
+    spark.createDataFrame([("c1", "ﬁm ", 1), ("c2", "", 1)], "id_chunk string, texto string, carregado_em int").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = sorted((tuple(x) for x in queries.p2_forms(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(
+        [
+            ("pages_norm", "d1#1", 1, "a ção"), ("pages_norm", "d1#1", 2, "ação"), ("pages_norm", "d1#2", 1, None), ("pages_norm", None, 1, "fim"),
+            ("chunks", "c1", 1, "fim"), ("chunks", "c2", 1, ""),
+        ],
+        key=str,
+    )
