@@ -20,11 +20,13 @@ CELL = 8
 NEAR = 24  # words within which a repeated word counts as stuffed
 LONGEST = 128  # characters of a word that count for its extent
 PASSAGE = 8  # words of a repeated passage
+LEAST_TIMES, TOP_WORD, TOP_PAIR, SAME_LINE = 4, 0.025, 0.01, 3  # times and shares from which a word, pair or line is a top one of its row
 UNIT = 1 << 20  # a value of 1 in the exact sums of a row
 STATISTICS = (
     "funcionais", "maiusculas", "numericas", "simbolos", "fim_frase", "fim_item", "comprimento", "linha_curta",
     "estranhas", "repetidas", "ciclicas", "ligacoes", "separadores", "precos", "variedade", "ngramas",
     "linha_numero", "linha_marcador", "linha_aberta", "linha_tabela", "extensao",
+    "frequentes", "pares", "linhas_iguais",
 )
 N_STATS = len(STATISTICS)
 OTHER, BROKEN = 127, 128  # class of words without a number of their own; flag of words that break a sentence
@@ -73,6 +75,25 @@ def passages(w: wt.Words, size: int, times: int) -> np.ndarray:
     return np.cumsum(hit[:-1]) > 0
 
 
+def frequent(w: wt.Words, key: np.ndarray, usable: np.ndarray, share: float) -> np.ndarray:
+    """Places whose key is one of the top keys of its whole row: at least ``share`` of its usable places."""
+    place = np.flatnonzero(usable)
+    row = w.row[place]
+    times = wt.repeated(key[place], row)
+    out = np.zeros(len(w.row), bool)
+    out[place] = times >= np.maximum(LEAST_TIMES, share * np.bincount(row, minlength=w.rows)[row])
+    return out
+
+
+def same_lines(w: wt.Words, times: int) -> np.ndarray:
+    """Words of lines of two words or more that stand at least ``times`` times in their row."""
+    first = np.flatnonzero((np.diff(w.line, prepend=-1) != 0) | (np.diff(w.row, prepend=-1) != 0))
+    size = np.diff(np.append(first, len(w.row)))
+    inside = np.minimum(np.arange(len(w.row)) - np.repeat(first, size), wt._POWER - 1)
+    key = np.add.reduceat(wt._mix(w.core) * wt._powers()[inside], first)
+    return np.repeat((wt.repeated(key, w.row[first]) >= times) & (size > 1) & (np.maximum.reduceat(w.letters, first) > 0), size)
+
+
 def line_values(w: wt.Words, capitals: np.ndarray, sets: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """For each word what its line looks like: ends in a number, starts with a marker, ends open, has columns.
 
@@ -124,8 +145,11 @@ def order_classes(w: wt.Words, own: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(words, language of each row, function-word index of each word or -1, per-word values of every statistic)."""
+def word_flags(t: cp.Texts, whole: bool = False) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(words, language of each row, function-word index of each word or -1, per-word values of every statistic).
+
+    The top words, pairs and lines of whole rows are looked for with ``whole`` only, and are 0 else.
+    """
     w = wt.word_table(t)
     language, own = wt.row_language(w)
     n = len(w.row)
@@ -158,7 +182,9 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
     odd = no_vowel | mixed | inner_case | (w.letters + w.digits > 28) | (w.letters + w.digits == 0) & (w.marks > 1)
     content = (own < 0) & (w.letters >= 3) & (w.digits == 0)
     near = near_repeats(w, w.core, content, NEAR)
-    pair = near_repeats(w, wt.shingle_keys(w, 2), np.append(~row_change[1:], False) & (w.core != 0), NEAR)
+    pair_key, paired = wt.shingle_keys(w, 2), np.append(~row_change[1:], False) & (w.core != 0)
+    pair = near_repeats(w, pair_key, paired, NEAR)
+    top_pair = frequent(w, pair_key, paired, TOP_PAIR) if whole else zero
     cyclic = passages(w, PASSAGE, 3)
     bullet = (c[w.start] == 0xBB) & (visible == 1)
     second = np.append([True], row_change[:-1]) | row_change
@@ -188,23 +214,26 @@ def word_flags(t: cp.Texts) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str,
         "ngramas": pair | np.append(False, pair[:-1]),
         **line_values(w, cased, sets),
         "extensao": np.minimum(visible, LONGEST) / LONGEST,
+        "frequentes": frequent(w, w.core, content, TOP_WORD) if whole else zero,
+        "pares": np.maximum(top_pair, np.append(0, top_pair[:-1])),
+        "linhas_iguais": same_lines(w, SAME_LINE) if whole else zero,
     }
     return w, language, own, values
 
 
-def profile(t: cp.Texts, around: int, sums: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def profile(t: cp.Texts, around: int, sums: bool = False, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(language of each row, words of each row, word classes, cell offsets of the rows, cells x statistics as bytes, rows x statistics).
 
     The last column of the table of cells is the number of words of the cell; with
     ``sums`` the rows have the sums over their words, in whole ``UNIT`` parts.
     """
-    w, language, own, values = word_flags(t)
+    w, language, own, values = word_flags(t, whole)
     c = wt.cells(w, CELL, around)
     n = len(c.first)
     out = np.zeros((n, N_STATS + 1), np.uint8)
     if n:
         total = np.maximum(c.sums(np.ones(len(w.row))), 1)
-        for j, name in enumerate(STATISTICS):
+        for j, name in enumerate(STATISTICS if whole else STATISTICS[:-3]):  # the last three are of whole rows
             # whole numbers add up to the same sum in any batch
             out[:, j] = np.rint(c.sums(np.rint(values[name] * 255.0)) / total)
         out[:, -1] = c.words
@@ -220,11 +249,11 @@ def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
-def profile_arrays(col: pa.Array, around: int, sums: bool = False) -> list[pa.Array]:
+def profile_arrays(col: pa.Array, around: int, sums: bool = False, whole: bool = False) -> list[pa.Array]:
     """[language number, words, profile, word classes] of a string column, with ``sums`` also the exact sums of each row."""
     languages, counts, blobs, classes, totals = [], [], [], [], []
     for _, t in cp.spans(col):
-        language, words, own, cells_of, table, total = profile(t, around, sums)
+        language, words, own, cells_of, table, total = profile(t, around, sums, whole)
         totals.append(_binary(np.arange(len(total) + 1) * (8 * N_STATS), total))
         languages.append(language), counts.append(words)
         blobs.append(_binary(cells_of * (N_STATS + 1), table))

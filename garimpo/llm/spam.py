@@ -2,12 +2,13 @@
 
 Every document is profiled in cells of eight words (``profile``): shares of
 function words, repeated words and pairs, link words, separators, prices and
-so on, over 24 words. The usual function-word and repetition shares of each
-language come from the cells of all documents; thresholds are set from them. A
+so on, over 24 words. The usual function-word, repetition, top-word, top-pair and
+duplicate-line shares of each language come from the cells of all documents; thresholds are set from them. A
 document is a case if more than half of its characters stand in cells beyond them:
 
 * links and tags: many link words, few function words;
-* stuffing: content words or word pairs that come again within 24 words;
+* stuffing: content words or word pairs that come again within 24 words, or
+  lines, words and pairs that make up much of the whole text (duplicate-line, top-word and top-pair shares);
 * separated keywords: a dense row of separators without function words;
 * product labels: prices and references without function words.
 
@@ -39,39 +40,39 @@ def _column(table: np.ndarray, name: str) -> np.ndarray:
     return table[:, pf.STATISTICS.index(name)] / 255.0
 
 
-def _ratio(table: np.ndarray) -> np.ndarray:
-    """Repeated content words among content words."""
-    return np.minimum(_column(table, "repetidas") / np.maximum(_column(table, "variedade"), 0.01), 1)
+def _ratio(table: np.ndarray, name: str = "repetidas") -> np.ndarray:
+    """Repeated (or top) content words among content words."""
+    return np.minimum(_column(table, name) / np.maximum(_column(table, "variedade"), 0.01), 1)
 
 
-def profiled(df: DataFrame, key: str, text: str, around: int, sums: bool = False) -> DataFrame:
+def profiled(df: DataFrame, key: str, text: str, around: int, sums: bool = False, whole: bool = False) -> DataFrame:
     """(key, lingua, palavras, perfil, classes) of every row, with ``sums`` also somas; a map without any shuffle."""
     made = T.StructType.fromDDL("lingua int, palavras bigint, perfil binary, classes binary" + ", somas binary" * sums)
     names = [key, *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *pf.profile_arrays(batch.column(1), around, sums)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *pf.profile_arrays(batch.column(1), around, sums, whole)], names)
 
     schema = T.StructType([df.schema[key], *made.fields])
     return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def calibrate(profiles: DataFrame) -> dict[str, list[float]]:
-    """Median share of function words and of repetition in the cells of each language.
+    """Median share of function words, of repetition and of the whole text's top words, pairs and lines in the cells of each language.
 
     Each task sends a histogram of 256 values for each language; at most
-    2,048 counts reach the driver, whatever the number of documents. A language
+    5,120 counts reach the driver, whatever the number of documents. A language
     with few words takes the medians of all.
     """
-    names = ("funcionais", "razao")
+    names = ("funcionais", "razao", "topo", "pares", "linhas_iguais")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(wt.LANGUAGES), len(names), 256))
         for batch in batches:
             row, table = pf.tables_of(batch.column(1))
             language = np.asarray(batch.column(0))[row]
-            for j, value in enumerate((_column(table, "funcionais"), _ratio(table))):
+            for j, value in enumerate((_column(table, "funcionais"), _ratio(table), _ratio(table, "frequentes"), _column(table, "pares"), _column(table, "linhas_iguais"))):
                 np.add.at(total, (language, j, np.rint(value * 255).astype(int)), table[:, -1])
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in at), pa.array(total[at])], ["lingua", "estatistica", "valor", "n"])
@@ -101,10 +102,16 @@ def spam_cells(table: np.ndarray, language: np.ndarray, usual: dict[str, list[fl
     stuffed = (ratio >= np.maximum(0.38, again + 0.3)) & (words < 0.8 * median) | (ratio >= np.clip(again + 0.45, 0.65, 0.9)) & (words < median)
     phrases = (ratio >= np.clip(again + 0.35, 0.55, 0.85)) & (s["ngramas"] >= 0.4) & (words < 1.05 * median)
     bare = (ratio >= 0.15) & (words < 0.35 * median) & clean & (s["maiusculas"] < 0.1) & (s["simbolos"] < 0.3) & (s["variedade"] > 0.7) & (s["fim_frase"] < 0.05)
+    # over the whole text: a cycle of keywords, and sentences made around the same words; a passage with its function words is junk
+    top, pairs, lines = np.array(usual["topo"])[language], np.array(usual["pares"])[language], np.array(usual["linhas_iguais"])[language]
+    topped = _ratio(table, "frequentes")
+    again_whole = (s["linhas_iguais"] >= np.minimum(lines + 0.5, 0.9)) | (topped >= np.minimum(top + 0.5, 0.9)) | (s["ciclicas"] >= 0.5)
+    cycle = again_whole & (words < 0.35 * median) & clean & (s["maiusculas"] < 0.1) & (s["simbolos"] < 0.3) & (s["variedade"] > 0.7) & (s["fim_frase"] < 0.05)
+    made = (topped >= np.clip(top + 0.4, 0.55, 0.85)) & (s["pares"] >= np.minimum(pairs + 0.4, 0.8)) & ((s["ciclicas"] < 0.5) | (words < 0.8 * median))
     wordy = s["variedade"] > 0.3
     return {
         "ligacoes": (s["ligacoes"] >= 0.1) & few,
-        "repeticao": wordy & (stuffed | phrases) & (s["numericas"] < 0.07) | bare & (s["numericas"] < 0.12),
+        "repeticao": wordy & (stuffed | phrases | made) & (s["numericas"] < 0.07) | (bare | cycle) & (s["numericas"] < 0.12),
         "palavras_chave": (s["separadores"] + s["fim_frase"] >= 0.28) & (words < 0.65 * median) & clean & (s["numericas"] < 0.1) & (s["simbolos"] < 0.6) & (s["variedade"] > 0.45) & (s["linha_curta"] < 0.4),
         "produtos": (s["precos"] >= 0.06) & few,
     }
@@ -112,7 +119,7 @@ def spam_cells(table: np.ndarray, language: np.ndarray, usual: dict[str, list[fl
 
 def spam_shares(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, palavras, parte, a share for each reason, caso) of every document."""
-    profiles = materialize(profiled(df, key, text, AROUND).drop("classes"), "perfis")
+    profiles = materialize(profiled(df, key, text, AROUND, whole=True).drop("classes"), "perfis")
     usual = calibrate(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

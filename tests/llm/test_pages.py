@@ -203,3 +203,54 @@ def test_very_long_text():
     text = "\n".join(prose(r, 30) for _ in range(300))
     language, words, blob, classes = pf.profile_arrays(pa.array([text, "x" * 200_000]), 1)
     assert words.to_pylist() == [len(text.split()), 1] and len(classes[0].as_py()) == words[0].as_py()
+
+
+def keyword_cycle(r, n=30, times=50):
+    return "\n".join([" ".join(r.sample(WORDS, n))] * times)
+
+
+def keyword_line(r, n=30, times=50):
+    return keyword_cycle(r, n, times).replace("\n", " ")
+
+
+def keyword_shuffles(r, n=40, times=40):
+    words = r.sample(WORDS, n)
+    return " ".join(w for _ in range(times) for w in r.sample(words, n))
+
+
+def far_sentences(r, n=12):
+    """Sentences of 25 words and more that hold each keyword once, in other words and order each time."""
+    keys, made = ["tcc pronto", "diploma rápido", "curso grátis", "vaga remota", "seguro viagem"], []
+    for _ in range(n):
+        k = r.sample(keys, 5)
+        made.append(f"Com {k[0]} e {k[1]} para a sua {r.choice(WORDS)}, o {k[2]} da {r.choice(WORDS)} será com o {k[3]} ou por {k[4]}, sem a {r.choice(WORDS)} de quem o {r.choice(WORDS)}.")
+    return " ".join(made)
+
+
+def subject_prose(r):
+    return "\n".join(f"A bolsa de estudo {VERBS.pick(r)} {OBJECTS.pick(r)} {ENDS.pick(r)}. {prose(r, 2)}" for _ in range(8))
+
+
+def headed_table(r):
+    return "\n".join(f"Nome Curso Nota Situação\n{table(r, 6)}" for _ in range(6))
+
+
+def passage_again(r):
+    return "\n".join([prose(r, 4)] * 12)
+
+
+def test_spam_over_the_whole_text(spark, documents):
+    r = random.Random(14)
+    bad, good = [keyword_cycle, keyword_line, keyword_shuffles, far_sentences], [subject_prose, headed_table, passage_again]
+    rows = [(3000 + 10 * i + k, make(r), 1.0, make.__name__) for i in range(5) for k, make in enumerate(bad + good)]
+    got = {x["doc_id"]: x["caso"] for x in spam.spam_shares(documents.unionByName(spark.createDataFrame(rows, documents.schema))).collect()}
+    assert [(i, name) for i, _, _, name in rows if got[i] != (name in {f.__name__ for f in bad})] == []
+
+
+def test_top_shares_of_rows():
+    line = "alfa beta gama delta"
+    texts = ["\n".join([line] * 3 + ["outra linha bem diferente"]), "\n".join([line] * 2), line, " ".join(["raiz"] * 4 + WORDS[:200]), " ".join(["raiz"] * 6 + WORDS[:200])]
+    w, _, _, values = pf.word_flags(next(cp.spans(pa.array(texts)))[1], True)
+    of = [w.row == k for k in range(5)]
+    assert [int(values["linhas_iguais"][k].sum()) for k in of] == [12, 0, 0, 0, 0]
+    assert [int(values["frequentes"][k].sum()) for k in of] == [0, 0, 0, 0, 6]
