@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,5 +25,6 @@ def latest_rows(df: DataFrame, keys: list[str], when: str, ties: list[Column] =
     repeated = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repetidas")
     if repeated.count() > broadcast_keys:
         return newest(df)
-    few = F.broadcast(repeated)
-    return df.join(few, keys, "left_anti").unionByName(newest(df.join(few, keys, "left_semi")))
+    few = F.broadcast(repeated.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))))
+    same = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return df.join(few, same, "left_anti").unionByName(newest(df.join(few, same, "left_semi")))

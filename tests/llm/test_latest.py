@@ -1,0 +1,13 @@
+"""One row for each key, whatever the number of repeated keys."""
+
+import pytest
+
+from garimpo.llm.latest import latest_rows
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_null_keys(spark, most):
+    rows = [("a", 1, 1), ("a", 1, 2), ("a", None, 1), ("a", None, 3), (None, 1, 4), (None, 1, 2), (None, None, 5), (None, None, 6), ("b", None, 1)]
+    df = spark.createDataFrame(rows, "k string, p int, q int")
+    got = sorted((tuple(x) for x in latest_rows(df, ["k", "p"], "q", broadcast_keys=most).collect()), key=str)
+    assert got == sorted([("a", 1, 2), ("a", None, 3), (None, 1, 4), (None, None, 6), ("b", None, 1)], key=str)
