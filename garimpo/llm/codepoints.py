@@ -71,9 +71,8 @@ def spans(col: pa.Array | pa.ChunkedArray, limit: int = SPAN_BYTES) -> Iterator[
         part = raw[at[first] : at[last]]
         byte_off = at[first : last + 1] - at[first]
         cps = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        leads = np.zeros(len(part) + 1, np.int64)
-        np.cumsum((part & 0xC0) != 0x80, out=leads[1:])
-        yield first, Texts(part, byte_off, cps, leads[byte_off], valid[first:last])
+        inner = np.flatnonzero((part & 0xC0) == 0x80) if len(cps) < len(part) else np.zeros(0, np.int64)
+        yield first, Texts(part, byte_off, cps, byte_off - np.searchsorted(inner, byte_off), valid[first:last])
         first = last
 
 
@@ -115,13 +114,18 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each longest run of characters without white space."""
-    ink = np.zeros(len(t.cps) + 2, np.int8)
-    ink[1:-1] = classes()[t.cps] != SPACE
-    start, end = np.flatnonzero(np.diff(ink) == 1), np.flatnonzero(np.diff(ink) == -1)
-    # a row without white space at its edge touches its neighbour: cut there too
-    edges = t.off[1:-1]
-    inner = np.unique(edges[(edges > 0) & (edges < len(t.cps))])
-    inner = inner[(ink[inner] == 1) & (ink[inner + 1] == 1)]
-    start = np.sort(np.concatenate([start, inner]))
-    end = np.sort(np.concatenate([end, inner]))
-    return start, end, np.searchsorted(t.off, start, side="right") - 1
+    n = len(t.cps)
+    ink = spaces()[t.cps] ^ True
+    edge = np.zeros(n + 1, bool)
+    edge[t.off] = True
+    begins, ends = edge[:n].copy(), edge[1:].copy()  # a row without white space at its edge touches its neighbour
+    begins[1:] |= ~ink[:-1]
+    ends[:-1] |= ~ink[1:]
+    start, end = np.flatnonzero(ink & begins), np.flatnonzero(ink & ends) + 1
+    return start, end, np.repeat(np.arange(t.rows), np.diff(np.searchsorted(start, t.off)))
+
+
+@functools.cache
+def spaces() -> np.ndarray:
+    """Whether each code point is white space."""
+    return classes() == SPACE

@@ -29,19 +29,30 @@ from pyspark.sql import types as T
 from garimpo.llm import codepoints as cp
 from garimpo.workdir import materialize
 
-# Letters of the Greek, Cyrillic and Armenian alphabets drawn like Latin ones.
+# Letters of other alphabets drawn like Latin ones (or, for the last pair, like each other).
 LOOKALIKE = {
+    # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "α": "a", "ι": "ı",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "α": "a", "ι": "ı", "υ": "u", "γ": "y",
+    # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѵ": "V", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Һ": "H", "Ӏ": "I",
+    "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѵ": "V", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I", "Ү": "Y",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ѵ": "v",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ɡ": "g",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ү": "y", "ɡ": "g",
+    # Armenian
     "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M",
+    "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "κ": "ĸ", "к": "ĸ",
 }
 # Ranges that Unicode calls default ignorable beyond the format characters.
 IGNORABLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
-SPELLED_OUT = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17))  # Roman numerals, ligatures
+# Roman numerals, ligatures, mathematical letters and digits but for script, Fraktur and double-struck ones.
+SPELLED_OUT = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x1D400, 0x1D49B), (0x1D5A0, 0x1D6A5), (0x1D6A8, 0x1D7CB), (0x1D7CE, 0x1D7D7), (0x1D7E2, 0x1D7FF))
 LINE_BREAKS = (0xA, 0xB, 0xC, 0xD, 0x85, 0x2028, 0x2029)
 _WIDTHS = ("<wide>", "<narrow>", "<noBreak>")
 _CODES = sys.maxunicode + 1
@@ -173,11 +184,17 @@ def compose(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cps[~drop], ends[off]
 
 
-def canonical(cps: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The consistent form of a run of texts: (code points, row offsets).
+@functools.cache
+def _changed() -> np.ndarray:
+    """Code points that don't stand for themselves or can attach to what stands before; blanks and line feeds are none."""
+    length, offset, _, _, _ = _expansions()
+    out = (length != 1) | (offset >= 0) | _leads()
+    out[[0xA, 0x20]] = False
+    return out
 
-    With ``lines`` each line break becomes U+000A and blanks are left as they are.
-    """
+
+def _expanded(cps: np.ndarray, off: np.ndarray, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Every code point replaced by what it looks like, marks composed."""
     length, offset, whole_length, whole_offset, pool = _expansions()
     width, origin = length[cps], offset[cps]
     joins = _leads()[cps]
@@ -196,27 +213,54 @@ def canonical(cps: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np
         own = origin[source]
         out = np.where(own < 0, cps[source], pool[np.maximum(own, 0) + inside * (own >= 0)])
     if lines:
-        breaks = np.isin(cps, LINE_BREAKS)
-        out[ends[:-1][breaks]] = 0xA
-        return compose(out.astype(np.uint32), ends[off])
-    out, off = compose(out.astype(np.uint32), ends[off])
-    blank = out == 0x20
+        out[ends[:-1][np.isin(cps, LINE_BREAKS)]] = 0xA
+    return compose(out.astype(np.uint32), ends[off])
+
+
+def _shown(cps: np.ndarray, off: np.ndarray, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``_expanded``, but only rows with a code point to change are worked on."""
+    at = np.flatnonzero(_changed()[cps])
+    if len(at) == 0:
+        return cps, off
+    dirty = np.zeros(len(off) - 1, bool)
+    dirty[np.searchsorted(off, at, side="right") - 1] = True
+    if dirty.all():
+        return _expanded(cps, off, lines)
+    size = np.diff(off)
+    inside = np.repeat(dirty, size)
+    part, ends = _expanded(cps[inside], np.concatenate([[0], np.cumsum(size[dirty])]), lines)
+    size[dirty] = np.diff(ends)
+    made = np.repeat(dirty, size)
+    out = np.empty(len(made), np.uint32)
+    out[made], out[~made] = part, cps[~inside]
+    return out, np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+def canonical(cps: np.ndarray, off: np.ndarray, lines: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The consistent form of a run of texts: (code points, row offsets).
+
+    With ``lines`` each line break becomes U+000A and blanks are left as they are.
+    """
+    out, off = _shown(cps, off, lines)
+    if lines:
+        return out, off
+    blank = (out == 0x20) | (out == 0xA)
     first = np.zeros(len(out) + 1, bool)
     first[off] = True
-    first = first[:-1]
-    drop = blank & (np.append(True, blank[:-1]) | first)
-    ends = np.zeros(len(out) + 1, np.int64)
-    np.cumsum(~drop, out=ends[1:])
-    out, off = out[~drop], ends[off]
+    drop = np.zeros(len(out), bool)
+    drop[1:] = blank[1:] & blank[:-1]
+    drop |= blank & first[:-1]
+    # blanks at the end of a row; a row of blanks only is gone already, or has its first blank left
     last = off[1:][off[1:] > off[:-1]] - 1
-    trailing = last[out[last] == 0x20]
-    if len(trailing):
-        keep = np.ones(len(out), bool)
-        keep[trailing] = False
-        ends = np.zeros(len(out) + 1, np.int64)
-        np.cumsum(keep, out=ends[1:])
-        out, off = out[keep], ends[off]
-    return out, off
+    kept = np.flatnonzero(~drop)
+    if len(kept) and len(last):
+        final = kept[np.maximum(np.searchsorted(kept, last, side="right") - 1, 0)]
+        drop[final[blank[final]]] = True
+    out = np.where(out == 0xA, np.uint32(0x20), out)
+    if not drop.any():
+        return out, off
+    gone = np.flatnonzero(drop)
+    return out[~drop], off - np.searchsorted(gone, off)
 
 
 def canonical_arrow(col: pa.Array) -> pa.Array:

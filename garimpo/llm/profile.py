@@ -3,267 +3,237 @@
 A text is profiled in cells of eight words; each statistic of a cell is taken
 over the cell and its neighbours, and stored as one byte (a share from 0 to 255). A
 row's profile is a small binary value, so that later passes over all documents
-(calibration, fitting, scoring) don't read the text again.
+(calibration, fitting, scoring) don't read the text again. Each problem has a
+``Plan`` of its own: only its statistics are worked out.
 """
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 from garimpo.llm import codepoints as cp
 from garimpo.llm import wordtable as wt
+from garimpo.llm.languages import CAPITAL_NOUNS, row_language
 
 CELL = 8
-NEAR = 24  # words within which a repeated word counts as stuffed
-LONGEST = 128  # characters of a word that count for its extent
+NEAR = 24  # words within which a repeated word or pair stands nearby; repetition further apart is that of the whole row
 PASSAGE = 8  # words of a repeated passage
-LEAST_TIMES, TOP_WORD, TOP_PAIR, SAME_LINE = 4, 0.025, 0.01, 3  # times and shares from which a word, pair or line is a top one of its row
+EXTRA = 5  # bytes of a cell beside its statistics: four for its characters, one for its words
 UNIT = 1 << 20  # a value of 1 in the exact sums of a row
-STATISTICS = (
-    "funcionais", "maiusculas", "numericas", "simbolos", "fim_frase", "fim_item", "comprimento", "linha_curta",
-    "estranhas", "repetidas", "ciclicas", "ligacoes", "separadores", "precos", "variedade", "ngramas",
-    "linha_numero", "linha_marcador", "linha_aberta", "linha_tabela", "extensao",
-    "frequentes", "pares", "linhas_iguais",
-)
-N_STATS = len(STATISTICS)
-OTHER, BROKEN = 127, 128  # class of words without a number of their own; flag of words that break a sentence
-_VOWELS = tuple(map(ord, "aeiouyáàâãäéèêëíìîïóòôõöúùûüýAEIOUYÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÝ"))
-_SEPARATORS = tuple(map(ord, ",;|/»"))
-
-
-@functools.cache
-def _sets() -> dict[str, np.ndarray]:
-    def table(codes) -> np.ndarray:
-        out = np.zeros(0x110000, bool)
-        out[list(codes)] = True
+CLASSES = 127  # classes of words in the order of words; the last is that of words without a place of their own
+OUTSIDE, BROKEN = CLASSES, 128  # class of other words; flag of words that break a sentence
+
+
+class Text:
+    """A run of texts as words, with what several statistics need worked out once."""
+
+    def __init__(self, t: cp.Texts):
+        w = self.w = wt.word_table(t)
+        self.language, self.own = row_language(w)
+        n = self.n = len(w.row)
+        self.visible = w.end - w.start
+        self.head = wt.flags()[w.cps[w.start]] if n else np.zeros(0, np.uint8)
+        self.row_first = np.diff(w.row, prepend=-1) != 0
+        self.line_first = (np.diff(w.line, prepend=-1) != 0) | self.row_first
+        self.row_key = wt.mix(np.arange(w.rows))[w.row]
+        upper, letters = np.bincount(w.row, w.upper, w.rows), np.bincount(w.row, w.letters, w.rows)
+        self.cased = (upper > 0.5 * letters)[w.row]  # words of rows in capitals
+        self.order = wt.Prefix(wt.mix(w.core))
+        self.place, self.row_end = np.arange(n), np.repeat(np.cumsum(w.sizes), w.sizes)
+        self.content = (self.own < 0) & (w.letters >= 3) & (w.digits == 0)
+
+    def holding(self, bit: int) -> np.ndarray:
+        """Words that hold a code point with the flag."""
+        return self.at(np.flatnonzero(wt.flags()[self.w.cps] & bit))
+
+    def at(self, positions: np.ndarray) -> np.ndarray:
+        """Words that hold one of the positions, which are those of few code points."""
+        out = np.zeros(self.n, bool)
+        if self.n and len(positions):
+            word = np.searchsorted(self.w.start, positions, side="right") - 1
+            word = word[(word >= 0) & (positions < self.w.end[np.maximum(word, 0)])]
+            out[word] = True
         return out
 
-    return {"vowel": table(_VOWELS), "sentence": table(wt.SENTENCE_END), "clause": table(wt.CLAUSE_END), "separator": table(_SEPARATORS), "foreign": np.append(np.arange(0x110000 - 1) >= 0x370, True)}
+    def runs(self, size: int) -> np.ndarray:
+        """A hash of the ``size`` words from each word on, 0 where the row ends before."""
+        to = self.place + size
+        return np.where(to <= self.row_end, self.order.spans(self.place, np.minimum(to, self.n)), 0)
 
 
-def _spread(flag_at: np.ndarray, w: wt.Words) -> np.ndarray:
-    """Words that hold one of the flagged code points."""
-    ends = np.zeros(len(flag_at) + 1, np.int32)
-    np.cumsum(flag_at, out=ends[1:], dtype=np.int32)
-    return ends[w.end] > ends[w.start]
+def links(x: Text) -> np.ndarray:
+    """Addresses, hashtags and markup with words."""
+    w, c = x.w, x.w.cps
+    slashes = np.flatnonzero(c == 0x2F)
+    slashes = slashes[slashes > 1]
+    slashes = slashes[(c[slashes - 1] == 0x2F) & (c[slashes - 2] == 0x3A)]
+    url = x.at(slashes) & (x.visible > 6)
+    tag = (c[w.start] == 0x23) & (w.letters > 1) if x.n else np.zeros(0, bool)
+    markup = x.at(np.flatnonzero((c == 0x3C) | (c == 0x3E))) & (w.letters > 0)
+    return url | tag | markup
 
 
-def near_repeats(w: wt.Words, key: np.ndarray, usable: np.ndarray, reach: int) -> np.ndarray:
-    """Places whose key stands again within ``reach`` words in the same row."""
-    place = np.flatnonzero(usable)
-    key = key[place] ^ wt._mix(w.row[place])
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], place[order]
-    near = (key[1:] == key[:-1]) & (np.diff(at) <= reach)
-    out = np.zeros(len(w.row), bool)
-    out[at[1:][near]] = True
-    out[at[:-1][near]] = True
-    return out
+def repeated_near(x: Text) -> np.ndarray:
+    """Content words that stand again nearby."""
+    return wt.together(x.w.core ^ x.row_key, x.content).near(x.n, NEAR)
 
 
-def passages(w: wt.Words, size: int, times: int) -> np.ndarray:
-    """Words inside a run of ``size`` words that stands at least ``times`` times in its row."""
-    key = wt.shingle_keys(w, size)
-    some = np.flatnonzero(key)
-    hit = np.zeros(len(key) + 1, np.int32)
-    again = some[wt.repeated(key[some], w.row[some]) >= times]
+def passages(x: Text, times: int) -> np.ndarray:
+    """Words inside a run of ``PASSAGE`` words that stands at least ``times`` times in its row."""
+    key = x.runs(PASSAGE)
+    again = np.flatnonzero(wt.together(key ^ x.row_key, key != 0).times(x.n) >= times)
+    hit = np.zeros(x.n + 1, np.int32)
     np.add.at(hit, again, 1)
-    np.add.at(hit, np.minimum(again + size, len(key)), -1)
+    np.add.at(hit, np.minimum(again + PASSAGE, x.n), -1)
     return np.cumsum(hit[:-1]) > 0
 
 
-def frequent(w: wt.Words, key: np.ndarray, usable: np.ndarray, share: float) -> np.ndarray:
-    """Places whose key is one of the top keys of its whole row: at least ``share`` of its usable places."""
-    place = np.flatnonzero(usable)
-    row = w.row[place]
-    times = wt.repeated(key[place], row)
-    out = np.zeros(len(w.row), bool)
-    out[place] = times >= np.maximum(LEAST_TIMES, share * np.bincount(row, minlength=w.rows)[row])
-    return out
+def odd_words(x: Text) -> np.ndarray:
+    """Words that no language writes: without vowels, letters among digits, capitals inside, overlong. Judged in Latin letters only."""
+    w = x.w
+    latin = ~x.holding(wt.FOREIGN)
+    no_vowel = ~_has(x, wt.VOWEL) & (w.letters > 3)
+    mixed = (w.letters >= 2) & (w.digits >= 2)
+    inner_case = (w.upper > 0) & ~(w.capital & (w.upper == 1)) & (w.upper < w.letters) & (w.letters > 3) & (w.marks == 0)
+    return latin & (no_vowel | mixed | inner_case | (w.letters + w.digits > 28)) | (w.letters + w.digits == 0) & (w.marks > 1)
+
+
+def _has(x: Text, bit: int) -> np.ndarray:
+    """Words that hold a frequent flag, by running counts."""
+    ends = np.zeros(len(x.w.cps) + 1, np.int32)
+    np.cumsum(wt.flags()[x.w.cps] & bit != 0, out=ends[1:], dtype=np.int32)
+    return ends[x.w.end] > ends[x.w.start]
 
 
-def same_lines(w: wt.Words, times: int) -> np.ndarray:
-    """Words of lines of two words or more that stand at least ``times`` times in their row."""
-    first = np.flatnonzero((np.diff(w.line, prepend=-1) != 0) | (np.diff(w.row, prepend=-1) != 0))
-    size = np.diff(np.append(first, len(w.row)))
-    inside = np.minimum(np.arange(len(w.row)) - np.repeat(first, size), wt._POWER - 1)
-    key = np.add.reduceat(wt._mix(w.core) * wt._powers()[inside], first)
-    return np.repeat((wt.repeated(key, w.row[first]) >= times) & (size > 1) & (np.maximum.reduceat(w.letters, first) > 0), size)
+def titles(x: Text) -> np.ndarray:
+    """Words with a capital inside a sentence; in rows in capitals only those written otherwise, in languages with capital nouns none."""
+    w = x.w
+    title = w.capital & np.isin(x.language, CAPITAL_NOUNS, invert=True)[w.row] & ((w.upper < w.letters) | (w.letters == 1) | ~x.cased)
+    after_end = np.append(True, w.last[:-1] & wt.SENTENCE > 0)[: x.n] | x.row_first
+    return title & ~after_end
 
 
-def line_values(w: wt.Words, capitals: np.ndarray, sets: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def symbols(x: Text) -> np.ndarray:
+    """Share of marks among the characters of each word, doubled where marks stand among letters."""
+    w = x.w
+    return np.minimum(w.marks / x.visible * (1 + ((w.marks >= 2) & (w.letters >= 1))), 1)
+
+
+def short_lines(x: Text) -> np.ndarray:
+    per_line = np.diff(np.append(np.flatnonzero(x.line_first), x.n))
+    return np.repeat(np.minimum(1, 4 / per_line), per_line)
+
+
+def line_values(x: Text) -> dict[str, np.ndarray]:
     """For each word what its line looks like: ends in a number, starts with a marker, ends open, has columns.
 
-    A line has columns if two or more tabs, wide gaps, bars or semicolons
+    A line has columns if two or more wide gaps, bars or semicolons
     without a blank stand between its words. It ends open if it has no closing punctuation and the next line of the
     text doesn't go on in lower case; texts in capitals have no open lines.
     """
-    n = len(w.row)
-    first = np.flatnonzero(np.diff(w.line, prepend=-1) | (np.diff(w.row, prepend=-1) != 0))
-    last = np.append(first[1:], n) - 1
-    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
-    kind = cp.classes()
-    head, tail = w.cps[w.start[first]], w.last[last]
-    lower = (kind[head] == cp.LETTER) & ~w.capital[first]
-    closed = sets["sentence"][tail] | sets["clause"][tail] | (tail == ord(",")) | (tail == ord("-"))
+    w, n = x.w, x.n
+    first = np.flatnonzero(x.line_first)
+    size = np.diff(np.append(first, n))
+    last = first + size - 1
+    kind = cp.classes()[w.cps[w.start[first]]]
+    tail = w.last[last]
+    comma = np.isin(w.cps[w.end[last] - 1], (ord(","), ord("-")))
+    lower = (kind == cp.LETTER) & ~w.capital[first]
+    closed = (tail & (wt.SENTENCE | wt.CLAUSE) > 0) | comma
     goes_on = np.append(lower[1:], False)
     final = np.append(w.row[first[1:]] != w.row[first[:-1]], True)
-    is_open = ~closed & ~goes_on & ~final & ~capitals[w.row[first]]
+    is_open = ~closed & ~goes_on & ~final & ~x.cased[first]
     numbered = (w.digits[last] > 0) & ~closed
-    marked = np.isin(head, wt._MARKERS) | (kind[head] == cp.NUMBER)
-    after = np.minimum(w.end, max(len(w.cps) - 1, 0))
-    width = np.append(w.start[1:], len(w.cps)) - w.end
-    same = np.append((np.diff(w.line) == 0) & (np.diff(w.row) == 0), False)
-    gap = same & ((width > 1) | (w.cps[after] == 0x9))
-    bar = (w.end - w.start == 1) & np.isin(w.last, (ord("|"), ord(";")))
-    semicolons = np.zeros(len(w.cps) + 1, np.int32)
-    np.cumsum(w.cps == ord(";"), out=semicolons[1:], dtype=np.int32)
-    inner = semicolons[w.end - 1] - semicolons[w.start]
-    columns = np.add.reduceat(gap + bar + inner, first) >= 2
-    return {"linha_numero": numbered[of], "linha_marcador": marked[of], "linha_aberta": is_open[of], "linha_tabela": columns[of]}
-
-
-def order_classes(w: wt.Words, own: np.ndarray) -> np.ndarray:
-    """One byte a word: the number of its function word or OTHER, and BROKEN where a sentence goes wrong after it.
+    marked = (x.head[first] & wt.MARKER > 0) | (kind == cp.NUMBER)
+    wide = np.append(w.start[1:] - w.end[:-1] > 1, False) & ~np.append(x.line_first[1:], True)
+    semicolons = np.flatnonzero(w.cps == ord(";"))
+    word = np.searchsorted(w.start, semicolons, side="right") - 1
+    alone = x.visible[word] == 1
+    bars = (x.visible == 1) & (w.cps[w.start] == ord("|"))
+    inner = np.bincount(word[(semicolons < w.end[word] - 1) | alone], minlength=n)
+    columns = np.add.reduceat(wide + bars + inner, first) >= 2
+    return {k: np.repeat(v, size) for k, v in (("linha_numero", numbered), ("linha_marcador", marked), ("linha_aberta", is_open), ("linha_tabela", columns))}
+
+
+def order_classes(x: Text) -> np.ndarray:
+    """One byte a word: its place among the function words or OUTSIDE, and BROKEN where a sentence goes wrong after it.
 
     That is a full stop before a lower-case word, or a capital function word
     inside a sentence and a line.
     """
-    n = len(w.row)
-    out = np.where(own < 0, OTHER, own).astype(np.uint8)
+    w, n = x.w, x.n
+    out = np.where(x.own < 0, OUTSIDE, np.minimum(x.own, CLASSES - 1)).astype(np.uint8)
     if n < 2:
         return out
-    same = np.diff(w.row) == 0
-    stop = np.isin(w.last, wt.SENTENCE_END) & (w.letters > 2)
+    stop = (w.last & wt.SENTENCE > 0) & (w.letters > 2)
     lower = (w.letters > 0) & ~w.capital & (cp.classes()[w.cps[w.start]] == cp.LETTER)
-    inside = same & (np.diff(w.line) == 0) & ~stop[:-1] & ~np.isin(w.last[:-1], wt.CLAUSE_END) & (w.letters[:-1] > 1)
-    capital = w.capital[1:] & (own[1:] >= 0) & (w.upper[1:] < w.letters[1:])
-    out[:-1][same & stop[:-1] & lower[1:] | inside & capital] |= BROKEN
+    inside = ~x.line_first[1:] & ~stop[:-1] & (w.last[:-1] & wt.CLAUSE == 0) & (w.letters[:-1] > 1)
+    capital = w.capital[1:] & (x.own[1:] >= 0) & (w.upper[1:] < w.letters[1:])
+    out[:-1][~x.row_first[1:] & stop[:-1] & lower[1:] | inside & capital] |= BROKEN
     return out
 
 
-def word_flags(t: cp.Texts, whole: bool = False) -> tuple[wt.Words, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(words, language of each row, function-word index of each word or -1, per-word values of every statistic).
+class Plan(NamedTuple):
+    """The statistics of a problem, and what works them out for each word of a text (values from 0 to 1)."""
 
-    The top words, pairs and lines of whole rows are looked for with ``whole`` only, and are 0 else.
-    """
-    w = wt.word_table(t)
-    language, own = wt.row_language(w)
-    n = len(w.row)
-    zero = np.zeros(n)
-    if n == 0:
-        return w, language, own, {s: zero for s in STATISTICS}
-    sets = _sets()
-    visible = w.end - w.start
-    c = w.cps
-    slashes = np.zeros(len(c), bool)
-    slashes[:-2] = (c[:-2] == 0x3A) & (c[1:-1] == 0x2F) & (c[2:] == 0x2F)
-    url = _spread(slashes, w) & (visible > 6)
-    tag = (c[w.start] == 0x23) & (w.letters > 1)
-    markup = _spread((c == 0x3C) | (c == 0x3E), w) & (w.letters > 0)
-    own = np.where(url | tag | markup, -1, own)
-    cased = np.bincount(w.row, w.upper, w.rows) > 0.5 * np.bincount(w.row, w.letters, w.rows)  # rows in capitals
-    title = w.capital & ((w.upper < w.letters) | (w.letters == 1) | ~cased[w.row])
-    previous_end = np.append(True, sets["sentence"][w.last[:-1]] | (np.diff(w.row) != 0))
-    numeric = w.digits > 0
-    length = np.minimum(w.letters, 20) / 20
-    per_line = np.bincount(w.line, minlength=int(w.line.max()) + 1)
-    row_change = np.append(True, np.diff(w.row) != 0)
-    first_upper_only = w.capital & (w.upper == 1)
-    vowels = np.zeros(len(w.cps) + 1, np.int32)
-    np.cumsum(sets["vowel"][w.cps], out=vowels[1:], dtype=np.int32)
-    no_vowel = (vowels[w.end] == vowels[w.start]) & (w.letters > 3)
-    mixed = (w.letters >= 2) & (w.digits >= 2)
-    inner_case = (w.upper > 0) & ~first_upper_only & (w.upper < w.letters) & (w.letters > 3) & (w.marks == 0)
-    inside_marks = (w.marks >= 2) & (w.letters >= 1)
-    odd = no_vowel | mixed | inner_case | (w.letters + w.digits > 28) | (w.letters + w.digits == 0) & (w.marks > 1)
-    content = (own < 0) & (w.letters >= 3) & (w.digits == 0)
-    near = near_repeats(w, w.core, content, NEAR)
-    pair_key, paired = wt.shingle_keys(w, 2), np.append(~row_change[1:], False) & (w.core != 0)
-    pair = near_repeats(w, pair_key, paired, NEAR)
-    top_pair = frequent(w, pair_key, paired, TOP_PAIR) if whole else zero
-    cyclic = passages(w, PASSAGE, 3)
-    bullet = (c[w.start] == 0xBB) & (visible == 1)
-    second = np.append([True], row_change[:-1]) | row_change
-    after_bullet = np.append(False, bullet[:-1]) & ~row_change | np.append([False, False], bullet[:-2])[:n] & ~second
-    link = url | tag | markup | bullet | (after_bullet & (own < 0))
-    symbol_only = (w.letters + w.digits == 0) & (w.marks <= 2)
-    separated = symbol_only | sets["separator"][w.last]
-    money = np.zeros(len(c), bool)
-    money[:-1] = ((c[:-1] == ord("R")) | (c[:-1] == ord("U"))) & (c[1:] == ord("$"))
-    price = _spread(money, w) | (w.core == np.uint64(wt.hash_word("ref")))
-    values = {
-        "funcionais": own >= 0,
-        "maiusculas": title & ~previous_end,
-        "numericas": numeric,
-        "simbolos": np.minimum(w.marks / visible * (1 + inside_marks), 1),
-        "fim_frase": sets["sentence"][w.last] & (w.letters > 1),
-        "fim_item": sets["clause"][w.last],
-        "comprimento": length,
-        "linha_curta": np.minimum(1, 4 / per_line[w.line]),
-        "estranhas": odd,
-        "repetidas": near,
-        "ciclicas": cyclic,
-        "ligacoes": link,
-        "separadores": separated,
-        "precos": price,
-        "variedade": content,
-        "ngramas": pair | np.append(False, pair[:-1]),
-        **line_values(w, cased, sets),
-        "extensao": np.minimum(visible, LONGEST) / LONGEST,
-        "frequentes": frequent(w, w.core, content, TOP_WORD) if whole else zero,
-        "pares": np.maximum(top_pair, np.append(0, top_pair[:-1])),
-        "linhas_iguais": same_lines(w, SAME_LINE) if whole else zero,
-    }
-    return w, language, own, values
-
-
-def profile(t: cp.Texts, around: int, sums: bool = False, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(language of each row, words of each row, word classes, cell offsets of the rows, cells x statistics as bytes, rows x statistics).
-
-    The last column of the table of cells is the number of words of the cell; with
-    ``sums`` the rows have the sums over their words, in whole ``UNIT`` parts.
-    """
-    w, language, own, values = word_flags(t, whole)
-    c = wt.cells(w, CELL, around)
-    n = len(c.first)
-    out = np.zeros((n, N_STATS + 1), np.uint8)
-    if n:
-        total = np.maximum(c.sums(np.ones(len(w.row))), 1)
-        for j, name in enumerate(STATISTICS if whole else STATISTICS[:-3]):  # the last three are of whole rows
+    names: tuple[str, ...]
+    values: Callable[[Text], dict[str, np.ndarray]]
+    around: int
+
+
+class Profiles(NamedTuple):
+    language: np.ndarray  # of each row
+    words: np.ndarray
+    classes: np.ndarray  # of each word
+    cells_of: np.ndarray  # cell offsets of the rows
+    table: np.ndarray  # cells x bytes: statistics, visible characters of the cell (4 bytes), its words
+    totals: np.ndarray  # rows x sums of the statistics, in whole UNIT parts
+
+
+def profile(t: cp.Texts, plan: Plan, sums: bool = False) -> Profiles:
+    x = Text(t)
+    w, k = x.w, len(plan.names)
+    c = wt.cells(w, CELL, plan.around)
+    table = np.zeros((len(c.first), k + EXTRA), np.uint8)
+    totals = np.zeros((w.rows, k), np.int64)
+    if x.n:
+        values = plan.values(x)
+        size = c.sums(np.ones(x.n, np.uint8))
+        for j, name in enumerate(plan.names):
+            v = values[name]
             # whole numbers add up to the same sum in any batch
-            out[:, j] = np.rint(c.sums(np.rint(values[name] * 255.0)) / total)
-        out[:, -1] = c.words
-    counts = np.bincount(w.row, minlength=w.rows)
-    cells_of = np.concatenate([[0], np.cumsum(np.bincount(c.row, minlength=w.rows))]).astype(np.int64)
-    totals = np.zeros((w.rows, N_STATS), np.int64)
-    for j, name in enumerate(STATISTICS if sums else ()):
-        totals[:, j] = np.bincount(w.row, np.rint(values[name] * float(UNIT)), w.rows)
-    return language, counts, order_classes(w, own), cells_of, out, totals
+            table[:, j] = np.rint(c.sums(v) * 255 / size) if v.dtype == bool else np.rint(c.sums(np.rint(v * 255).astype(np.uint8)) / size)
+            if sums:
+                totals[:, j] = np.bincount(w.row, np.rint(v * float(UNIT)), w.rows)
+        table[:, k : k + 4] = np.add.reduceat(x.visible, c.first).astype("<u4").view(np.uint8).reshape(-1, 4)
+        table[:, -1] = c.words
+    cells_of = np.concatenate([[0], np.cumsum(-(-w.sizes // CELL))]).astype(np.int64)
+    return Profiles(x.language, w.sizes, order_classes(x), cells_of, table, totals)
 
 
 def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
-def profile_arrays(col: pa.Array, around: int, sums: bool = False, whole: bool = False) -> list[pa.Array]:
-    """[language number, words, profile, word classes] of a string column, with ``sums`` also the exact sums of each row."""
-    languages, counts, blobs, classes, totals = [], [], [], [], []
+def profile_arrays(col: pa.Array, plan: Plan, classes: bool = True, sums: bool = False) -> list[pa.Array]:
+    """[language number, words, profile] of a string column, then word classes and exact sums if asked for."""
+    k = len(plan.names)
+    made: list[list[pa.Array]] = []
     for _, t in cp.spans(col):
-        language, words, own, cells_of, table, total = profile(t, around, sums, whole)
-        totals.append(_binary(np.arange(len(total) + 1) * (8 * N_STATS), total))
-        languages.append(language), counts.append(words)
-        blobs.append(_binary(cells_of * (N_STATS + 1), table))
-        classes.append(_binary(np.concatenate([[0], np.cumsum(words)]), own))
-    if not blobs:
-        return [pa.array([], pa.int32()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * (2 + sums)]
-    return [
-        pa.array(np.concatenate(languages).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int64)),
-        pa.concat_arrays(blobs), pa.concat_arrays(classes), *[pa.concat_arrays(totals)] * sums,
-    ]
+        p = profile(t, plan, sums)
+        row = [pa.array(p.language.astype(np.int32)), pa.array(p.words.astype(np.int64)), _binary(p.cells_of * (k + EXTRA), p.table)]
+        if classes:
+            row.append(_binary(np.concatenate([[0], np.cumsum(p.words)]), p.classes))
+        if sums:
+            row.append(_binary(np.arange(len(p.totals) + 1) * (8 * k), p.totals))
+        made.append(row)
+    if not made:
+        return [pa.array([], pa.int32()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * (1 + classes + sums)]
+    return [pa.concat_arrays(parts) for parts in zip(*made)]
 
 
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -274,13 +244,17 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw
 
 
-def tables_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each cell, cells x statistics) of a column of profiles."""
+def tables_of(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each cell, cells x ``width``) of a column of profiles."""
     at, raw = bytes_of(col)
-    step = N_STATS + 1
-    return np.repeat(np.arange(len(col)), np.diff(at) // step), raw.reshape(-1, step)
+    return np.repeat(np.arange(len(col)), np.diff(at) // width), raw.reshape(-1, width)
+
+
+def characters(table: np.ndarray) -> np.ndarray:
+    """Visible characters of each cell."""
+    return np.ascontiguousarray(table[:, -EXTRA:-1]).view("<u4").ravel().astype(np.float64)
 
 
-def sums_of(col: pa.Array) -> np.ndarray:
+def sums_of(col: pa.Array, width: int) -> np.ndarray:
     """Rows x statistics, from a column of exact sums."""
-    return bytes_of(col)[1].view(np.int64).reshape(-1, N_STATS)
+    return bytes_of(col)[1].view(np.int64).reshape(-1, width)

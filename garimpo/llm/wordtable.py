@@ -18,18 +18,14 @@ import numpy as np
 from garimpo.llm import codepoints as cp
 from garimpo.llm.lookalike import canonical
 
-LANGUAGES = ("pt", "en", "es", "fr")
-# Frequent function words of each language.
-FUNCTION_WORDS = {
-    "pt": "a o as os um uma de do da dos das em no na nos nas ao à aos às por pelo pela para com sem sob até e ou que se não mais como é são foi ser está sua seu dentro entre sobre quando caso além",
-    "en": "the a an of to in on at by for with from and or but not is are was be been has have had may can will shall should must that which who this these those it its as if when although within before after without",
-    "es": "el la los las un una de del al en con por para sin sobre y o que se no su sus es son fue ser ha han como más cuando aunque porque entre hasta desde antes durante",
-    "fr": "le la les un une des de du à au aux en dans par pour avec sans sous sur et ou que qui ne pas est sont a ont être se ce cette son sa ses car quoique avant après chaque l d s",
+# Bits of a code point's flags.
+SENTENCE, CLAUSE, SEPARATOR, MARKER, VOWEL, FOREIGN, CURRENCY, SMALL = (1 << i for i in range(8))
+_SETS = {
+    SENTENCE: ".!?…", CLAUSE: ";:", SEPARATOR: ",;|/»•·›>", MARKER: "-–—•*·▪■□◆»>›",
+    VOWEL: "aeiouyáàâãäéèêëíìîïóòôõöúùûüýæœøåAEIOUYÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÝÆŒØÅ",
 }
-_POWER = 4096  # words longer than this share the tail of the power table
-SENTENCE_END = tuple(map(ord, ".!?…"))
-CLAUSE_END = tuple(map(ord, ";:"))
-_MARKERS = tuple(map(ord, "-–—•*·▪■□◆»>"))
+_FIRST = np.uint64(0x9E3779B97F4A7C15)
+_FIELD = 16  # bits of a counter in a packed sum
 
 
 class Words(NamedTuple):
@@ -38,6 +34,7 @@ class Words(NamedTuple):
     rows: int
     cps: np.ndarray
     row: np.ndarray
+    sizes: np.ndarray  # words of each row
     start: np.ndarray
     end: np.ndarray
     line: np.ndarray  # number of the line in the run
@@ -46,122 +43,155 @@ class Words(NamedTuple):
     marks: np.ndarray  # visible characters that are neither letters nor digits
     upper: np.ndarray  # upper-case letters
     capital: np.ndarray  # the first letter or digit is an upper-case letter
-    last: np.ndarray  # last code point
+    last: np.ndarray  # flags of the last code point
     core: np.ndarray  # hash of the core, 0 without letters and digits
 
 
 @functools.cache
-def _lower() -> tuple[np.ndarray, np.ndarray]:
-    """(lower-case code point, is upper-case) for each code point; one-to-one folds only."""
-    low = np.arange(sys.maxunicode + 1, dtype=np.uint32)
-    up = np.zeros(sys.maxunicode + 1, bool)
-    for i in np.flatnonzero(cp.classes() == cp.LETTER).tolist():
+def flags() -> np.ndarray:
+    """The flags of each code point."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for bit, chars in _SETS.items():
+        out[[ord(c) for c in chars]] |= bit
+    kind = cp.classes()
+    foreign = kind == cp.LETTER
+    foreign[:0x250] = False
+    foreign[0x1E00:0x1F00] = False
+    out[foreign] |= FOREIGN
+    out[[i for i in range(0x24, 0x20D0) if unicodedata.category(chr(i)) == "Sc"]] |= CURRENCY
+    out[[i for i in np.flatnonzero(kind == cp.LETTER).tolist() if chr(i).islower()]] |= SMALL
+    return out
+
+
+@functools.cache
+def _folds() -> tuple[np.ndarray, np.ndarray]:
+    """(a random number for each code point, the same for both cases; packed counters: letter, digit, upper case, combining mark)."""
+    low = np.arange(sys.maxunicode + 1, dtype=np.uint64)
+    kind = cp.classes()
+    packed = (kind == cp.LETTER).astype(np.uint64) + ((kind == cp.NUMBER).astype(np.uint64) << np.uint64(_FIELD))
+    packed += (kind == cp.MARK).astype(np.uint64) << np.uint64(3 * _FIELD)
+    for i in np.flatnonzero(kind == cp.LETTER).tolist():
         c = chr(i)
         x = c.lower()
-        if x != c and len(x) == 1:
-            low[i], up[i] = ord(x), True
-    return low, up
+        if x != c and len(x) == 1:  # one-to-one folds only
+            low[i] = ord(x)
+            packed[i] += np.uint64(1 << 2 * _FIELD)
+    return mix(low), packed
 
 
-@functools.cache
-def _powers() -> np.ndarray:
-    return np.cumprod(np.full(_POWER, 0x9E3779B97F4A7C15, np.uint64))
+@functools.lru_cache(maxsize=1)
+def _powers_to(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(size, _FIRST, np.uint64)
+    down = np.full(size, np.uint64(pow(int(_FIRST), -1, 1 << 64)), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
+    up, down = _powers_to(max(1 << max(n - 1, 1).bit_length(), 1 << 21))
+    return up[:n], down[:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(27))
 
 
-def hash_spans(low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points; empty spans have 0."""
-    out = np.zeros(len(start), np.uint64)
-    some = np.flatnonzero(length > 0)
-    if len(some):
-        n = length[some]
-        flat = cp.gather(start[some], n)
-        inside = np.minimum(flat - np.repeat(start[some], n), _POWER - 1)
-        out[some] = np.add.reduceat(_mix(low[flat]) * _powers()[inside], np.cumsum(n) - n) | np.uint64(1)
-    return out
-
-
-def hash_word(word: str) -> int:
-    return int(hash_spans(np.array([ord(c) for c in word], np.uint32), np.array([0]), np.array([len(word)]))[0])
+class Prefix:
+    """Hashes of any spans of a sequence of 64-bit numbers, from running sums of its members times powers."""
 
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=self.sums[1:])
 
-@functools.cache
-def function_tables() -> list[np.ndarray]:
-    """For each language the sorted hashes of its function words."""
-    return [np.sort(np.array([hash_word(w) for w in set(FUNCTION_WORDS[x].split())], np.uint64)) for x in LANGUAGES]
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each span, 0 for empty ones."""
+        key = (self.sums[end] - self.sums[start]) * self.down[start]
+        return np.where(end > start, mix(key) | np.uint64(1), np.uint64(0))
 
 
-def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Index of each value in a sorted table, or -1."""
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+def hash_word(word: str) -> int:
+    codes = np.array([ord(c) for c in word], np.uint32)
+    return int(Prefix(_folds()[0][codes]).spans(np.array([0]), np.array([len(word)]))[0])
 
 
 def word_table(t: cp.Texts) -> Words:
     cps, off = canonical(t.cps, t.off, lines=True)
     form = cp.Texts(t.raw, t.byte_off, cps, off, t.valid)
     start, end, row = cp.words(form)
-    kind = cp.classes()[cps]
-    low, up = _lower()
     n = len(cps)
-
-    def total(flag: np.ndarray) -> np.ndarray:
-        ends = np.zeros(n + 1, np.int32)
-        np.cumsum(flag, out=ends[1:], dtype=np.int32)
-        return ends[end] - ends[start]
-
-    letter, digit = kind == cp.LETTER, kind == cp.NUMBER
-    inner = letter | digit
+    number, packed = _folds()
+    each = packed[cps]
+    ends = np.zeros(n + 1, np.uint64)
+    np.cumsum(each, out=ends[1:])
+    total = ends[end] - ends[start]
+    field = np.uint64((1 << _FIELD) - 1)
+    letters, digits, upper, combining = ((total >> np.uint64(k * _FIELD) & field).astype(np.int64) for k in range(4))
+    for i in np.flatnonzero(end - start > int(field)):  # beyond a packed counter
+        part = each[start[i] : end[i]]
+        letters[i], digits[i], upper[i], combining[i] = (int((part >> np.uint64(k * _FIELD) & field).sum()) for k in range(4))
+    inner = (each & np.uint64(1 | 1 << _FIELD)) > 0
     places = np.append(np.flatnonzero(inner), n)
-    first = places[np.searchsorted(places, start)]
-    last = places[np.maximum(np.searchsorted(places, end) - 1, 0)] + 1
-    has = first < end
-    is_upper = up[cps]
-    letters, digits = total(letter), total(digit)
+    before = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(letters + digits, out=before[1:])  # letters and digits stand in words only
+    first, has = places[before[:-1]], letters + digits > 0
+    last = np.where(has, places[np.maximum(before[1:] - 1, 0)] + 1, first)
+    head = np.minimum(first, max(n - 1, 0))
+    broken = np.flatnonzero(cps == 0xA)
+    sizes = np.bincount(row, minlength=t.rows)
     return Words(
-        t.rows, cps, row, start, end,
-        np.cumsum(cps == 0xA, dtype=np.int64)[start] + row if n else start,  # each row starts a line
-        letters, digits, (end - start) - letters - digits - total(kind == cp.MARK),
-        total(is_upper), has & is_upper[np.minimum(first, max(n - 1, 0))] if n else has,
-        cps[end - 1], hash_spans(low[cps], first, np.where(has, last - first, 0)),
+        t.rows, cps, row, sizes, start, end, _lines(start, broken, row),
+        letters, digits, (end - start) - letters - digits - combining, upper,
+        has & ((each[head] >> np.uint64(2 * _FIELD)) & field > 0) if n else has,
+        flags()[cps[end - 1]], Prefix(number[cps]).spans(np.where(has, first, 0), np.where(has, last, 0)),
     )
 
 
-def row_language(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(language number of each row by its most frequent function words, function-word index for each word or -1)."""
-    hits = [member(w.core, table) for table in function_tables()]
-    counts = np.stack([np.bincount(w.row[h >= 0], minlength=w.rows) for h in hits])
-    language = counts.argmax(axis=0)
-    own = np.choose(language[w.row], hits) if len(w.row) else np.zeros(0, np.int64)
-    return language, own
+def _lines(start: np.ndarray, breaks: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Number of the line of each word; every row starts a line."""
+    step = np.zeros(len(start) + 1, np.int64)
+    np.add.at(step, np.searchsorted(start, breaks), 1)
+    return np.cumsum(step[:-1]) + row
 
 
-def repeated(key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """How often each entry's key occurs in its row."""
-    if len(key) == 0:
-        return np.zeros(0, np.int64)
-    full = key ^ _mix(row)
-    _, index, counts = np.unique(full, return_inverse=True, return_counts=True)
-    return counts[index]
+class Places(NamedTuple):
+    """Places of a sequence brought together by key, in order within each key."""
 
+    place: np.ndarray
+    same: np.ndarray  # for all but the last: the next place has the same key
 
-def shingle_keys(w: Words, size: int) -> np.ndarray:
-    """Hash of the ``size`` words from each word on; 0 where the row ends before."""
-    n = len(w.core)
-    out = np.zeros(n, np.uint64)
-    if n < size:
+    def times(self, n: int) -> np.ndarray:
+        """How often each place's key occurs; 0 for places that were left out."""
+        out = np.zeros(n, np.int64)
+        if len(self.place):
+            first = np.flatnonzero(np.append(True, ~self.same))
+            size = np.diff(np.append(first, len(self.place)))
+            out[self.place] = np.repeat(size, size)
         return out
-    key = np.zeros(n - size + 1, np.uint64)
-    for k in range(size):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + _mix(w.core[k : n - size + 1 + k])
-    whole = w.row[: n - size + 1] == w.row[size - 1 :]
-    out[: n - size + 1] = np.where(whole, key | np.uint64(1), 0)
-    return out
+
+    def near(self, n: int, reach: int) -> np.ndarray:
+        """Places whose key stands again within ``reach`` places."""
+        out = np.zeros(n, bool)
+        close = self.same & (np.diff(self.place) <= reach)
+        out[self.place[1:][close]] = True
+        out[self.place[:-1][close]] = True
+        return out
+
+
+def together(key: np.ndarray, usable: np.ndarray) -> Places:
+    """The usable places by key. One sort of numbers that hold a part of the key and the place."""
+    place = np.flatnonzero(usable)
+    if len(place) == 0:
+        return Places(place, np.zeros(0, bool))
+    low = np.uint64((1 << max(len(key) - 1, 1).bit_length()) - 1)
+    made = key[place] & ~low | place.astype(np.uint64)
+    made.sort()
+    place = (made & low).astype(np.int64)
+    full = key[place]
+    return Places(place, full[1:] == full[:-1])
 
 
 class Cells(NamedTuple):
@@ -174,20 +204,21 @@ class Cells(NamedTuple):
     hi: np.ndarray
 
     def sums(self, x: np.ndarray) -> np.ndarray:
-        """Sum of a per-word value over each cell's window."""
+        """Sum of a per-word whole number over each cell's window."""
         if len(self.first) == 0:
             return np.zeros(0)
-        ends = np.concatenate([[0.0], np.cumsum(np.add.reduceat(x.astype(np.float64), self.first))])
+        ends = np.zeros(len(self.first) + 1, np.int64)
+        np.cumsum(np.add.reduceat(x, self.first, dtype=np.int64), out=ends[1:])
         return ends[self.hi] - ends[self.lo]
 
 
 def cells(w: Words, size: int, around: int) -> Cells:
-    n = len(w.row)
-    begin = np.flatnonzero(np.diff(w.row, prepend=-1))
-    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    first = np.flatnonzero(place % size == 0)
-    row = w.row[first]
-    index = np.arange(len(first))
-    lo = np.maximum(index - around, np.searchsorted(row, row))
-    hi = np.minimum(index + around + 1, np.searchsorted(row, row, side="right"))
-    return Cells(first, row, np.diff(np.append(first, n)), lo, hi)
+    each = -(-w.sizes // size)
+    row = np.repeat(np.arange(w.rows), each)
+    begin = np.concatenate([[0], np.cumsum(w.sizes)[:-1]]) if w.rows else w.sizes
+    from_cell = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
+    index = np.arange(len(row))
+    first = begin[row] + (index - from_cell[row]) * size
+    lo = np.maximum(index - around, from_cell[row])
+    hi = np.minimum(index + around + 1, from_cell[row + 1])
+    return Cells(first, row, np.diff(np.append(first, len(w.row))), lo, hi)
