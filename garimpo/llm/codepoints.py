@@ -112,17 +112,20 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each longest run of characters without white space."""
-    n = len(t.cps)
-    ink = spaces()[t.cps] ^ True
-    edge = np.zeros(n + 1, bool)
-    edge[t.off] = True
-    begins, ends = edge[:n].copy(), edge[1:].copy()  # a row without white space at its edge touches its neighbour
+def runs(ink: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each longest run of flagged code points within a row."""
+    edge = np.zeros(len(ink) + 1, bool)
+    edge[off] = True
+    begins, ends = edge[:-1].copy(), edge[1:].copy()  # a run at the edge of a row touches that of its neighbour
     begins[1:] |= ~ink[:-1]
     ends[:-1] |= ~ink[1:]
     start, end = np.flatnonzero(ink & begins), np.flatnonzero(ink & ends) + 1
-    return start, end, np.repeat(np.arange(t.rows), np.diff(np.searchsorted(start, t.off)))
+    return start, end, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
+
+
+def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each longest run of characters without white space."""
+    return runs(~spaces()[t.cps], t.off)
 
 
 @functools.cache

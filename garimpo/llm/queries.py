@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.llm import lookalike, mix, quality, spam, split, terms, tokens, topn
@@ -53,6 +53,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chunks(_read(spark, d, "chunks"), _read(spark, d, "pages_norm")).select("id_chunk").distinct()
 
 
+def p3_limits(spark: SparkSession, d: str) -> DataFrame:
+    """For every split chunk what its pieces must keep: limits, no gap, overlap, all words of the text."""
+    pieces = p3_pieces(spark, d)
+    order = Window.partitionBy("id_chunk").orderBy("peca")  # the pieces of one text
+    before, overlap = F.lag("inicio_palavra").over(order), F.lag("fim_palavra").over(order) - F.col("inicio_palavra")
+    joined = F.coalesce(overlap.between(0, split.OVERLAP) & (F.col("inicio_palavra") >= before), F.lit(True))
+    inside = (F.col("quantidade_palavras") <= split.MAX_WORDS) & (F.length("texto") <= split.MAX_CHARS)
+    seen = pieces.select("id_chunk", "inicio_palavra", "fim_palavra", inside.alias("dentro"), joined.alias("unidas"))
+    return seen.groupBy("id_chunk").agg(
+        F.min("inicio_palavra").alias("inicio"), F.max("fim_palavra").alias("fim"), F.bool_and("dentro").alias("nos_limites"), F.bool_and("unidas").alias("sem_lacuna")
+    )
+
+
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every term with its occurrences, chunks and mark."""
     chunks = _read(spark, d, "chunks")
@@ -110,7 +123,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
+    for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
 }
 
 _TERMS = """
@@ -121,6 +134,9 @@ _TERMS = """
         n as (select count(*) n from t),
         m as (select f.*, case when chunks < 3 then 'rara' when chunks > n / 2.0::double then 'comum' end marca from f, n)"""
 
+_SPACE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_WORDS = f"len(regexp_extract_all(texto, '[^{_SPACE}]+'))"
+
 SQL: dict[str, str] = {
     "p5_found": """
         with best as (
@@ -133,6 +149,10 @@ SQL: dict[str, str] = {
         select distinct id_chunk from chunks
         where length(texto) > 2000
            or length(regexp_replace(regexp_replace(texto, '[^\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', 'x', 'g'), '[^x]', '', 'g')) > 200""",
+    "p3_limits": f"""
+        with o as (select *, {_WORDS} n from chunks where id_chunk is not null and texto is not null),
+        r as (select *, row_number() over (partition by id_chunk order by carregado_em desc nulls last, texto) rn from o where n > 200 or length(texto) > 2000)
+        select id_chunk, coalesce(inicio_palavra, 0)::integer inicio, (coalesce(inicio_palavra, 0) + n)::integer fim, true nos_limites, true sem_lacuna from r where rn = 1""",
     "p4_terms": f"{_TERMS} select term, chunks, ocorrencias, marca from m",
     "p4_found": f"{_TERMS} select term, marca from m where marca is not null",
     "p4_loads": f"""{_TERMS},

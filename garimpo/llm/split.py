@@ -11,8 +11,9 @@ successor table and derives all cuts of all texts in ``log2(pieces)`` steps.
 A word longer than ``max_chars`` is itself cut into fragments (not before a
 combining mark where that can be avoided); its pieces share the word's number.
 Null and short texts give no piece; an oversized text of white space only gives
-one empty piece. A null ``inicio_palavra`` counts as 0. Rows of the same key
-are cut once, the latest one. ``paginas`` comes from the words of the document's pages
+one empty piece. A null ``inicio_palavra`` counts as 0. Of the rows of one key that are
+oversized the latest is cut (ties: by a hash of the text); rows within the limits don't take its
+place, whether earlier or later. ``paginas`` comes from the words of the document's pages
 where those cover the piece, else from the row itself.
 """
 
@@ -23,11 +24,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimpo.llm import codepoints as cp
+from garimpo.operators.ordinals import running_sum
 from garimpo.workdir import materialize
 
 MAX_WORDS, MAX_CHARS, OVERLAP = 200, 2000, 30
@@ -201,22 +203,8 @@ def page_bounds(pages: DataFrame) -> DataFrame:
     keys = ["id_documento", "numero_pagina"]
     counted = word_count_column(pages, "texto_normalizado", [*keys, "carregado_em"])
     counted = counted.groupBy(*keys).agg(F.max(F.struct("carregado_em", "palavras"))["palavras"].alias("palavras"))
-    return running_sum(counted.where("palavras > 0"), ["id_documento"], "numero_pagina", "palavras", F.floor(F.col("numero_pagina") / PAGE_BLOCK))
-
-
-def running_sum(df: DataFrame, group: list[str], order: str, value: str, block: Column) -> DataFrame:
-    """``df`` with ``de`` and ``ate``, the sums of ``value`` in ``order`` before and with each row.
-
-    ``block`` is a column that grows with ``order``; only block sums of a group
-    meet in one task, and the rows of one block.
-    """
-    df = df.withColumn("__b", block)
-    sums = df.groupBy(*group, "__b").agg(F.sum(value).alias("__s"))
-    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, "__b", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__o"))
-    inner = Window.partitionBy(*group, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__c", F.sum(value).over(inner)).join(sums, [*group, "__b"])
-    return out.withColumn("ate", F.col("__o") + F.col("__c")).withColumn("de", F.col("ate") - F.col(value)).drop("__b", "__o", "__c")
+    placed = running_sum(counted.where("palavras > 0"), ["id_documento"], "numero_pagina", "palavras", F.floor(F.col("numero_pagina") / PAGE_BLOCK))
+    return placed.withColumnRenamed("antes", "de")
 
 
 def _buckets(lo: Column, hi: Column) -> Column:
@@ -234,7 +222,7 @@ def split_chunks(chunks: DataFrame, pages: DataFrame | None = None, **limits: in
     over = over.withColumn("versao", F.struct("carregado_em", F.xxhash64("texto").alias("h")))
     pieces = split_oversized(over, "id_chunk", "texto", ["id_documento", "paginas", "inicio_palavra", "versao"], **limits)
     pieces = materialize(pieces.dropDuplicates(["id_chunk", "versao", "peca"]), "pecas")
-    newest = over.groupBy("id_chunk").agg(F.max("versao").alias("versao"))
+    newest = pieces.groupBy("id_chunk").agg(F.max("versao").alias("versao"))
     pieces = pieces.join(newest, ["id_chunk", "versao"], "left_semi")
     base = F.coalesce("inicio_palavra", F.lit(0))
     pieces = pieces.withColumns({"inicio_palavra": base + F.col("de_palavra"), "fim_palavra": base + F.col("ate_palavra")})

@@ -87,6 +87,14 @@ def test_column(spark):
             sp.split_oversized(empty, "id_chunk", "texto", **bad)
 
 
+def test_oversized_rows_count_whatever_comes_later(spark):
+    chunk = "id_chunk string, id_documento string, paginas array<int>, inicio_palavra int, carregado_em int, texto string"
+    long, longer = " ".join(f"p{i}" for i in range(250)), " ".join(f"q{i}" for i in range(260))
+    rows = [("a", "d", [1], 0, 1, long), ("a", "d", [1], 0, 2, "curto"), ("b", "d", [1], 0, 1, "curto"), ("b", "d", [1], 0, 2, long), ("c", "d", [1], 0, 1, long), ("c", "d", [1], 0, None, longer), ("d", "d", [1], 0, 1, "curto")]
+    got = sp.split_chunks(spark.createDataFrame(rows, chunk)).groupBy("id_chunk").agg({"fim_palavra": "max"})
+    assert dict(map(tuple, got.collect())) == {"a": 250, "b": 250, "c": 250}
+
+
 def test_agrees_with_sql(spark, data, duck):
     from garimpo.llm.queries import SQL, p3_found
 
