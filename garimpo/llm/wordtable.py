@@ -113,6 +113,12 @@ class Prefix:
         return np.where(end > start, mix(key) | np.uint64(1), np.uint64(0))
 
 
+@functools.cache
+def numbers() -> np.ndarray:
+    """A random number for each code point."""
+    return mix(np.arange(sys.maxunicode + 1))
+
+
 def hash_word(word: str) -> int:
     codes = np.array([ord(c) for c in word], np.uint32)
     return int(Prefix(_folds()[0][codes]).spans(np.array([0]), np.array([len(word)]))[0])
