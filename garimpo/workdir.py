@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _written: list[tuple[object, str]] = []
+_tables: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -55,6 +56,19 @@ def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str = "table") -> DataFrame:
+    """Write ``df``, already partitioned by ``key`` in that number, to the shared folder as a table bucketed by it.
+
+    Joins and groupings by the key then move none of its rows.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = f"garimpo_{path.rsplit('-', 1)[1]}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path under the shared folder, whatever file system holds it."""
     jvm = spark.sparkContext._jvm
@@ -67,6 +81,8 @@ def cleanup() -> None:
     while _written:
         spark, path = _written.pop()
         try:
+            while _tables:
+                spark.sql(f"drop table if exists {_tables.pop()}")
             delete(spark, path)
         except Exception:  # the JVM may already be gone
             return
