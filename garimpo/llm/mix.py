@@ -6,14 +6,16 @@ come first; the rest of the budget is a weighted sample without replacement
 (Efraimidis-Spirakis): each document draws an exponential key scaled by its
 quality weight, documents are taken in key order until their prefix sum of
 tokens meets the rest. The draw is a hash of the seed and the document id, so a
-lost task repeats it exactly.
+lost task repeats it exactly. The weight is the share of a document's words that none of problem 1's
+statistics of junk speaks against (``JUNK``).
 
-Prefix sums go through key buckets: only bucket sums of a source come together,
-and only the documents of the bucket in which the budget ends are sorted.
+Prefix sums go through quantiles of the keys of each source: only the sums between quantiles come together.
+The range in which the budget ends is cut by quantiles again until it holds few documents, and only those are
+sorted. Rows with the same id and text have one key; they are summed as one and split by arithmetic.
 
 Sources that are null or not listed are in no mix; a listed source without
 documents has size 0. Of a source listed twice the greatest share and cap count;
-null shares and caps count as 0. Documents without tokens are never needed to
+null shares and caps count as 0. Null ids draw by their text. Documents without tokens are never needed to
 fill a budget; every row counts, also repeated ones.
 """
 
@@ -29,10 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimpo.llm import codepoints as cp
+from garimpo.llm import profile as pf
+from garimpo.llm.quality import PLAN
 from garimpo.llm.tokens import DEFAULT, TOKENIZERS, Encoder, load_merges
 from garimpo.workdir import materialize
 
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 20_000  # documents of a source sorted in one task, after their copies are put together
+QUANTILES = 32
+BROADCAST_SOURCES = 10_000  # listed sources up to which their plan is broadcast
+JUNK = ("numericas", "simbolos", "estranhas", "ciclicas", "linha_numero", "linha_tabela")
 LEAST_WEIGHT = 0.05
 
 
@@ -44,28 +51,55 @@ class Mix(NamedTuple):
 
 
 def quality(t: cp.Texts) -> np.ndarray:
-    """Weight of each text: its share of letters among visible characters, at least LEAST_WEIGHT."""
-    kinds = cp.classes()[t.cps]
-    ends = np.zeros((2, len(kinds) + 1), np.int64)
-    np.cumsum(kinds == cp.LETTER, out=ends[0, 1:])
-    np.cumsum(kinds != cp.SPACE, out=ends[1, 1:])
-    letters, visible = (np.diff(e[t.off]) for e in ends)
-    return np.maximum(letters / np.maximum(visible, 1), LEAST_WEIGHT)
+    """Weight of each text: the product of 1 less its mean of each statistic of junk, at least LEAST_WEIGHT."""
+    made = pf.profile(t, PLAN, True)
+    means = made.totals[:, [PLAN.names.index(n) for n in JUNK]] / (np.maximum(made.words, 1)[:, None] * float(pf.UNIT))
+    return np.maximum(np.prod(1 - np.minimum(means, 1), axis=1), LEAST_WEIGHT)
 
 
 def sized_documents(df: DataFrame, key: str, text: str, source: str, tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
-    """(key, source, tokens, qualidade) of every document; a map without any shuffle."""
+    """(key, source, digest of the text, tokens, qualidade) of every document; a map without any shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(load_merges(tokenizer, folder))
+    names = [key, "source", "__h", "tokens", "qualidade"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for at, t in cp.spans(batch.column(2)):
+            for at, t in cp.spans(batch.column(3)):
                 made = [pa.array(encoder.sizes(t), pa.int64()), pa.array(quality(t), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, t.rows) for i in (0, 1)), *made], [key, "source", "tokens", "qualidade"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, t.rows) for i in (0, 1, 2)), *made], names)
 
-    schema = T.StructType([df.schema[key], T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("qualidade", T.DoubleType())])
-    return df.select(key, F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = T.StructType([df.schema[key], *T.StructType.fromDDL("source string, __h bigint, tokens bigint, qualidade double").fields])
+    text_of = F.col(text).cast("string")
+    return df.select(key, F.col(source).cast("string").alias("source"), F.xxhash64(text_of).alias("__h"), text_of.alias("__text")).mapInArrow(run, schema)
+
+
+def _by_source(plan: DataFrame) -> DataFrame:
+    """The rows of a plan, one for each listed source, to be joined: broadcast if they are few."""
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
+def edge_ranges(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, de, ate, antes): the range of keys in which the budget of each source ends, and the tokens of the keys before it.
+
+    Each round replaces the range of a source by one of its parts between quantiles, about a ``QUANTILES``-th of its
+    documents, until at most DOCS_PER_BUCKET are left or all have one key.
+    """
+    start = plan.where("resto > 0").select("source", "resto", F.lit(0.0).alias("de"), F.lit(float("inf")).alias("ate"), F.lit(0).cast("bigint").alias("antes"), F.col("documentos").alias("n"))
+    ranges = materialize(start, "margens")
+    while not ranges.where((F.col("n") > DOCS_PER_BUCKET) & (F.col("de") < F.col("ate"))).isEmpty():
+        wide = ranges.where((F.col("n") > DOCS_PER_BUCKET) & (F.col("de") < F.col("ate")))
+        inside = keyed.select("source", "chave", "tokens").join(_by_source(wide), "source").where("chave >= de and chave <= ate")
+        quantiles = F.percentile_approx("chave", [i / QUANTILES for i in range(1, QUANTILES)], 10_000)
+        edges = materialize(inside.groupBy("source").agg(quantiles.alias("__e")), "quantis")
+        placed = inside.join(_by_source(edges), "source").withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("chave"))))
+        sums = placed.groupBy("source", "__b", "resto", "antes").agg(F.sum("tokens").alias("s"), F.count("*").alias("n"), F.min("chave").alias("de"), F.max("chave").alias("ate"))
+        w = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)  # QUANTILES rows
+        sums = sums.withColumn("__t", F.col("antes") + F.sum("s").over(w)).where(F.col("__t") > F.col("resto"))
+        first = sums.groupBy("source", "resto").agg(F.min(F.struct("__b", "de", "ate", (F.col("__t") - F.col("s")).alias("antes"), "n")).alias("x"))
+        cut = first.select("source", "resto", "x.de", "x.ate", "x.antes", "x.n")
+        ranges = materialize(ranges.join(wide.select("source"), "source", "left_anti").unionByName(cut), "margens")
+    return ranges.select("source", "de", "ate", "antes")
 
 
 def mix_sources(
@@ -83,24 +117,23 @@ def mix_sources(
     plan = plan.withColumn("orcamento", F.least("alvo", (F.col("tamanho") * F.col("max_repeticoes")).cast("double")))
     plan = plan.withColumn("epocas", F.when(F.col("tamanho") > 0, F.floor(F.col("orcamento") / F.col("tamanho"))).otherwise(0).cast("int"))
     plan = plan.withColumn("resto", F.col("orcamento") - F.col("epocas") * F.col("tamanho"))
-    plan = plan.withColumn("baldes", F.greatest(F.lit(1), F.ceil(F.col("documentos") / DOCS_PER_BUCKET)))
     plan = materialize(plan.coalesce(1), "plano")
 
     # a third of the documents may be of one source: the small plan is joined, the documents stay where they are
-    draw = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = sized.join(F.broadcast(plan.select("source", "epocas", "resto", "baldes")), "source")  # one row a listed source
+    draw = (F.shiftrightunsigned(F.xxhash64(key, "__h", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    keyed = sized.join(_by_source(plan.select("source", "epocas", "resto")), "source")
     keyed = keyed.withColumn("chave", -F.log(draw) / F.col("qualidade"))
-    keyed = keyed.withColumn("balde", F.floor((1 - F.exp(-F.col("chave"))) * F.col("baldes")).cast("int"))
-    sums = keyed.groupBy("source", "balde").agg(F.sum("tokens").alias("s"), F.first("resto").alias("resto"))
-    w = Window.partitionBy("source").orderBy("balde").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("ate", F.sum("s").over(w)).withColumn("antes", F.col("ate") - F.col("s"))
-    sums = sums.select("source", "balde", "antes", (F.col("ate") <= F.col("resto")).alias("dentro"), (F.col("antes") >= F.col("resto")).alias("fora"))
-    placed = keyed.join(sums, ["source", "balde"])
-    inner = Window.partitionBy("source", "balde").orderBy("chave", key).rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("not dentro and not fora").withColumn("ate", F.col("antes") + F.sum("tokens").over(inner))
-    # the document on the edge is taken if more than half of it fits
-    edge = edge.withColumn("mais", (2 * F.col("ate") - F.col("tokens") <= 2 * F.col("resto")).cast("int"))
-    rest = placed.where("dentro or fora").withColumn("mais", F.col("dentro").cast("int"))
+    placed = keyed.join(_by_source(edge_ranges(keyed, plan)), "source", "left")
+    at_edge = F.coalesce(F.col("chave").between(F.col("de"), F.col("ate")), F.lit(False))
+    same = [key, "__h", "source", "tokens", "epocas", "resto", "antes", "chave"]
+    edge = placed.where(at_edge).groupBy(*same).agg(F.count("*").alias("copias"))
+    inner = Window.partitionBy("source").orderBy("chave", key, "__h").rowsBetween(Window.unboundedPreceding, 0)
+    weight = F.col("tokens") * F.col("copias")
+    edge = edge.withColumn("__room", F.col("resto") - F.col("antes") - (F.sum(weight).over(inner) - weight))
+    # the document on the edge is taken if half of it fits
+    taken = F.greatest(F.least(F.floor(F.col("__room") / F.col("tokens") + 0.5), F.col("copias")), F.lit(0))
+    edge = edge.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), "copias"))).withColumn("mais", (F.col("__i") <= taken).cast("int"))
+    rest = placed.where(~at_edge).withColumn("mais", F.coalesce(F.col("chave") < F.col("de"), F.lit(False)).cast("int"))
     columns = [key, "source", "tokens", (F.col("epocas") + F.col("mais")).alias("vezes")]
     chosen = materialize(edge.select(columns).unionByName(rest.select(columns)).where("vezes > 0"), "mistura")
 

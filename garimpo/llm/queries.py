@@ -106,6 +106,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets")).report
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """For every listed source what the mix must keep: budget, whole epochs before a part, cap, every document whole."""
+    made = mix.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))
+    seen = made.documents.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("vezes")).alias("soma"), F.count("*").alias("linhas"), F.max("tokens").alias("maior"), F.min("vezes").alias("menos"), F.max("vezes").alias("mais")
+    )
+    r = made.report.join(seen, "source", "left").fillna(0, ["soma", "linhas", "maior", "menos", "mais"])
+    budget = F.least("alvo", (F.col("tamanho") * F.col("max_repeticoes")).cast("double"))
+    return r.select(
+        "source", "max_repeticoes", (F.abs(F.col("soma") - budget) <= F.col("maior") / 2 + 1e-6).alias("no_orcamento"), (F.col("mais") <= F.col("max_repeticoes")).alias("na_cota"),
+        ((F.col("mais") <= F.col("epocas") + 1) & ((F.col("epocas") == 0) | (F.col("menos") >= F.col("epocas")))).alias("epocas_antes"), (F.col("soma") == F.col("tokens_na_mistura")).alias("soma_confere"),
+    )
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that can't reach their share with their permitted repetitions."""
     return p7_shares(spark, d).where("insuficiente").select("source")
@@ -123,7 +137,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shares)
+    for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p7_limits, p8_found, p8_shares)
 }
 
 _TERMS = """
@@ -153,6 +167,9 @@ SQL: dict[str, str] = {
         with o as (select *, {_WORDS} n from chunks where id_chunk is not null and texto is not null),
         r as (select *, row_number() over (partition by id_chunk order by carregado_em desc nulls last, texto) rn from o where n > 200 or length(texto) > 2000)
         select id_chunk, coalesce(inicio_palavra, 0)::integer inicio, (coalesce(inicio_palavra, 0) + n)::integer fim, true nos_limites, true sem_lacuna from r where rn = 1""",
+    "p7_limits": """
+        select source, max(coalesce(max_repeticoes, 0))::integer max_repeticoes, true no_orcamento, true na_cota, true epocas_antes, true soma_confere
+        from mix_targets where source is not null group by source""",
     "p4_terms": f"{_TERMS} select term, chunks, ocorrencias, marca from m",
     "p4_found": f"{_TERMS} select term, marca from m where marca is not null",
     "p4_loads": f"""{_TERMS},

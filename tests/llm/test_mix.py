@@ -76,6 +76,49 @@ def test_buckets_change_nothing(spark, made, monkeypatch):
     assert {tuple(r) for r in mix.mix_sources(d, t).documents.collect()} == set(made[2])
 
 
+def test_few_or_many_quantiles_change_nothing(spark, made, monkeypatch):
+    monkeypatch.setattr(mix, "DOCS_PER_BUCKET", 1)
+    monkeypatch.setattr(mix, "QUANTILES", 2)
+    monkeypatch.setattr(mix, "BROADCAST_SOURCES", 0)
+    d, t = spark.createDataFrame(docs(), DOC), spark.createDataFrame(TARGETS, TARGET)
+    assert {tuple(r) for r in mix.mix_sources(d, t).documents.collect()} == set(made[2])
+
+
+def test_ranges_are_even_whatever_the_weights(spark):
+    """Weights from least to most: the range in which a budget ends still holds few documents."""
+    keyed = spark.range(20000).selectExpr("'s' source", "1L tokens", "-ln((id + 0.5) / 20000) / (case when id % 2 = 0 then 0.05 else 1 end) chave")
+    plan = spark.createDataFrame([("s", 7000.5, 20000)], "source string, resto double, documentos bigint")
+    old, mix.DOCS_PER_BUCKET = mix.DOCS_PER_BUCKET, 900
+    try:
+        r = mix.edge_ranges(keyed, plan).first()
+    finally:
+        mix.DOCS_PER_BUCKET = old
+    assert keyed.where(f"chave < {r['de']!r}").count() == r["antes"] and 0 < keyed.where(f"chave between {r['de']!r} and {r['ate']!r}").count() <= 900
+
+
+@pytest.mark.parametrize("least", [20_000, 3])
+def test_copies_and_null_ids(spark, monkeypatch, least):
+    """A third of the rows is one row again and again, many ids are null."""
+    monkeypatch.setattr(mix, "DOCS_PER_BUCKET", least)
+    rows = [(1, "a mesma linha de sempre", "s", 0, 0)] * 200 + [(None, f"texto sem id número {i}", "s", 0, 0) for i in range(200)] + [(i, f"texto {i} da fonte", "s", 0, 0) for i in range(2, 202)]
+    d, t = spark.createDataFrame(rows, DOC).repartition(4), spark.createDataFrame([("s", 0.45, 1, 0), ("t", 0.55, 1, 0)], TARGET)
+    m = mix.mix_sources(d, t)
+    report, chosen = {r["source"]: r for r in m.report.collect()}, m.documents.collect()
+    longest = max(r["tokens"] for r in chosen)
+    assert abs(report["s"]["tokens_na_mistura"] - report["s"]["alvo"]) <= longest / 2 + 1e-6
+    assert sum(r["tokens"] * r["vezes"] for r in chosen) == report["s"]["tokens_na_mistura"]
+    assert sum(r["doc_id"] == 1 for r in chosen) <= 200 and {r["vezes"] for r in chosen} == {1}
+
+
+def test_weights():
+    from garimpo.llm import codepoints as cp
+    import pyarrow as pa
+
+    texts = ["A comissão poderá rever o prazo de inscrição.", "1 2 3 4 5", "A nota 7 vale 3 pontos.", "", None]
+    w = mix.quality(next(cp.spans(pa.array(texts)))[1])
+    assert w[0] > w[2] > w[1] == mix.LEAST_WEIGHT and len(w) == 5
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     rows = [(i, "palavra" if i % 2 else "1 2 3 4 5 6", "s", 0, 0) for i in range(4000)]
     d, t = spark.createDataFrame(rows, DOC), spark.createDataFrame([("s", 0.4, 1, 0), ("t", 0.6, 1, 0)], TARGET)
