@@ -281,24 +281,50 @@ def with_consistent_form(df: DataFrame, text: str, keep: list[str], out: str = "
     return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def equal_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(chave_a, chave_b) of different keys whose texts look the same but differ in code points.
+def looks(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """(tabela, forma, escrita, chave) of every text shown of the tables (name, rows, key, text): digests of 128 bits of its form and of its spelling.
+
+    Only these digests are ever shuffled.
+    """
+    made = []
+    for name, df, key, text in parts:
+        formed = with_consistent_form(df.where(F.col(key).isNotNull() & (F.length(text) > 0)), text, [key]).where(F.length("forma") > 0)
+        digest = [F.substring(F.unhex(F.sha2(c, 256)), 1, 16).alias(n) for c, n in (("forma", "forma"), ("__text", "escrita"))]
+        made.append(formed.select(F.lit(name).alias("tabela"), *digest, F.col(key).cast("string").alias("chave")))
+    return materialize(functools.reduce(DataFrame.unionByName, made), "formas")
+
+
+_CLASS = ["tabela", "forma"]
+
+
+def classes(seen: DataFrame) -> DataFrame:
+    """The distinct rows of ``looks`` whose form has several spellings; a form with one costs one row."""
+    several = seen.groupBy(*_CLASS).agg(F.min("escrita").alias("a"), F.max("escrita").alias("b")).where("a != b").select(*_CLASS)
+    return materialize(seen.join(several, _CLASS, "left_semi").distinct(), "grupos")
+
 
-    Only digests of the form and of the text are shuffled. Groups are first
-    reduced to their distinct spellings, so that exact copies meet only the
-    keys of another spelling and a form with one spelling costs one row.
+def membership(members: DataFrame) -> DataFrame:
+    """One row for each key (and spelling) of a class: (tabela, chave, classe, representante, copias).
+
+    ``representante`` is the first key of the same spelling, ``classe`` the first key of the class, ``copias`` the keys of the spelling.
+    """
+    spelled = members.groupBy(*_CLASS, "escrita").agg(F.min("chave").alias("representante"), F.count("*").alias("copias"))
+    first = spelled.groupBy(*_CLASS).agg(F.min("representante").alias("classe"))
+    return members.join(spelled.join(first, _CLASS), [*_CLASS, "escrita"]).select("tabela", "chave", "classe", "representante", "copias")
+
+
+def pairs(members: DataFrame) -> DataFrame:
+    """(tabela, chave_a, chave_b) of different keys of a class in different spellings.
+
+    Pairs are made between spellings first, so that exact copies meet only the keys of another spelling.
     """
-    formed = with_consistent_form(df.where(F.col(key).isNotNull() & (F.length(text) > 0)), text, [key])
-    digests = formed.where(F.length("forma") > 0).select(
-        F.col(key).alias("chave"), F.unhex(F.sha2("forma", 256)).alias("forma"), F.unhex(F.sha2("__text", 256)).alias("escrita")
-    )
-    digests = materialize(digests, "formas")
-    spellings = digests.groupBy("forma", "escrita").agg(F.min("chave").alias("uma"))
-    several = spellings.groupBy("forma").agg(F.count("*").alias("n")).where("n > 1").select("forma")
-    members = materialize(digests.join(several, "forma", "left_semi").distinct(), "grupos")
-    own = members.select("forma", "escrita").distinct()
-    variants = own.select("forma", F.col("escrita").alias("a")).join(own.select("forma", F.col("escrita").alias("b")), "forma").where("a < b")
-    left = members.select("forma", F.col("escrita").alias("a"), F.col("chave").alias("k"))
-    right = members.select("forma", F.col("escrita").alias("b"), F.col("chave").alias("m"))
-    pairs = variants.join(left, ["forma", "a"]).join(right, ["forma", "b"]).where(F.col("k") != F.col("m"))
-    return pairs.select(F.least("k", "m").alias("chave_a"), F.greatest("k", "m").alias("chave_b")).distinct()
+    own = members.select(*_CLASS, "escrita").distinct()
+    variants = own.withColumnRenamed("escrita", "a").join(own.withColumnRenamed("escrita", "b"), _CLASS).where("a < b")
+    left, right = members.toDF(*_CLASS, "a", "k"), members.toDF(*_CLASS, "b", "m")
+    found = variants.join(left, [*_CLASS, "a"]).join(right, [*_CLASS, "b"]).where(F.col("k") != F.col("m"))
+    return found.select("tabela", F.least("k", "m").alias("chave_a"), F.greatest("k", "m").alias("chave_b")).distinct()
+
+
+def equal_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(chave_a, chave_b) of different keys whose texts look the same but differ in code points."""
+    return pairs(classes(looks([("", df, key, text)]))).drop("tabela")

@@ -24,14 +24,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_quality(_read(spark, d, "pages_norm")).where("caso").select("id_documento")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of pages and of chunks that look the same but differ in code points."""
+def _looks(spark: SparkSession, d: str) -> DataFrame:
     pages = _read(spark, d, "pages_norm")
     # null with a null part, and null keys are in no pair
     pages = pages.select(F.concat("id_documento", F.lit("#"), F.col("numero_pagina").cast("string")).alias("chave"), "texto_normalizado")
-    parts = [("pages_norm", pages, "chave", "texto_normalizado"), ("chunks", _read(spark, d, "chunks"), "id_chunk", "texto")]
-    found = [lookalike.equal_looking_pairs(df, key, text).select(F.lit(name).alias("tabela"), "chave_a", "chave_b") for name, df, key, text in parts]
-    return found[0].unionByName(found[1])
+    return lookalike.looks([("pages_norm", pages, "chave", "texto_normalizado"), ("chunks", _read(spark, d, "chunks"), "id_chunk", "texto")])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of pages and of chunks that look the same but differ in code points."""
+    return lookalike.pairs(lookalike.classes(_looks(spark, d)))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as classes: each page or chunk with its class and the first of its spelling, whatever the number of copies."""
+    return lookalike.membership(lookalike.classes(_looks(spark, d)))
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +144,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_documents, p2_found, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p7_limits, p8_found, p8_shares)
+    for f in (p1_found, p1_documents, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p7_limits, p8_found, p8_shares)
 }
 
 _TERMS = """

@@ -67,6 +67,29 @@ def test_pairs(spark):
     assert lk.equal_looking_pairs(df.limit(0), "chave", "texto").count() == 0
 
 
+def test_letters_of_other_alphabets():
+    for a, b in (("Ү", "Y"), ("υ", "u"), ("γ", "y"), ("Ꭺ", "A"), ("ꓮ", "A"), ("𝐀𝑏𝖢𝟏", "AbC1"), ("к", "κ")):
+        assert formed([a]) == formed([b]), (a, b)
+    for a, b in (("Һ", "H"), ("к", "k"), ("𝔘", "U"), ("ℕ", "N"), ("π", "n")):
+        assert formed([a]) != formed([b]), (a, b)
+
+
+def test_only_changed_rows_are_worked_on(monkeypatch):
+    worked = []
+    monkeypatch.setattr(lk, "_expanded", lambda cps, off, lines, do=lk._expanded: worked.append(len(off) - 1) or do(cps, off, lines))
+    texts = ["um\ndois", "", "três  quatro ", "ﬁm", "a", "e\u0301", "cinco"]
+    assert formed(texts) == [plain(t) for t in texts] and worked == [2]
+    assert formed(["um", "dois"]) == ["um", "dois"] and worked == [2]
+
+
+def test_classes(spark):
+    rows = [("k1", "ata"), ("k2", "аta"), ("k3", "аta"), ("k4", "outra"), ("k4", "outra"), ("k5", "ata"), ("k5", "аta"), ("k6", "fim"), (None, "ata"), ("k7", None)]
+    df = spark.createDataFrame(rows, "chave string, texto string")
+    got = sorted(tuple(r) for r in lk.membership(lk.classes(lk.looks([("t", df, "chave", "texto"), ("u", df.where("chave = 'k1'"), "chave", "texto")]))).collect())
+    assert got == [("t", "k1", "k1", "k1", 2), ("t", "k2", "k1", "k2", 3), ("t", "k3", "k1", "k2", 3), ("t", "k5", "k1", "k1", 2), ("t", "k5", "k1", "k2", 3)]
+    assert lk.membership(lk.classes(lk.looks([("t", df.limit(0), "chave", "texto")]))).count() == 0
+
+
 def test_copies_cost_no_pairs(spark):
     """A third of the rows in one spelling meets only the few rows of another."""
     rows = [(f"k{i}", "mesmo texto") for i in range(3000)] + [("x", "mesmo texto")]
