@@ -1,8 +1,7 @@
 """Text functions: Unicode normalisation, folding, words, terms, queries, highlights.
 
-White space is Python's, spelled out, because the regular expressions of the
-JVM know only the ASCII part of it. Only NFC and full case folding leave the
-JVM, as Arrow batches; everything else is a column expression.
+White space is Python's. Whatever looks at every character (normalisation, words, terms) works on
+Arrow batches as code-point arrays, without a call for each row; the rest is column expressions.
 """
 
 from __future__ import annotations
@@ -10,17 +9,17 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from garimpo.functions import codepoints as cp
+from garimpo.functions import folding
 
-# White space as str.split and str.strip see it.
-WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WS_IN_LINE = WS.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
 TERM = r"[\p{L}\p{N}]+"
-WORD = f"[^{WS}]+"
-ZERO_WIDTH_SPACE = "​"
+LF, CR, HYPHEN, LOW_LINE, ZERO_WIDTH_SPACE = 0xA, 0xD, 0x2D, 0x5F, 0x200B
 
 # Portuguese stop words in NFC and folded, in alphabetical order of the public list.
 STOP_WORDS = """
@@ -38,56 +37,97 @@ vocês vos à às é éramos
 """.split()
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition; null stays null."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def nfc_fold(texts: pd.Series) -> pd.Series:
-    """Canonical composition, then full case folding; null stays null."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
-
-
-def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
-
-
-def is_blank(text: Column) -> Column:
-    """Null, empty or white space only."""
-    return F.coalesce(~F.rlike(text, F.lit(f"[^{WS}]")), F.lit(True))
-
-
-def normalize_text(text: Column) -> Column:
-    """The cleaning of page texts, in its fixed order; null becomes empty.
+def cleaned(t: cp.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The cleaning of page texts, in its fixed order, over a run of texts: (code points, row offsets).
 
     NFC; zero-width space to blank; line ends to LF; hyphenated line ends
     joined; blanks and tabs of each line collapsed and each line stripped; three
     or more line ends to two; stripped.
     """
-    t = F.coalesce(nfc(text), F.lit(""))
-    t = F.replace(t, F.lit(ZERO_WIDTH_SPACE), F.lit(" "))
-    t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])-\n(?=[\p{L}\p{N}_])", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), f"[{WS_IN_LINE}]*\n[{WS_IN_LINE}]*", "\n")
-    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
-
-
-def words(text: Column) -> Column:
-    """Runs without white space."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    cps, off = folding.composed(t)
+    cps = np.where(cps == ZERO_WIDTH_SPACE, np.uint32(0x20), cps)
+    if (cps == CR).any():
+        same_row = ~cp.row_starts(len(cps), off)[1:]
+        cps, off = cp.kept(cps, off, (cps == CR) & np.append(cps[1:] == LF, False) & same_row)
+        cps = np.where(cps == CR, np.uint32(LF), cps)
+    first = cp.row_starts(len(cps), off)
+    at = np.flatnonzero(cps == HYPHEN)
+    at = at[(at > 0) & (at < len(cps) - 2)]
+    at = at[(cps[at + 1] == LF) & ~first[at] & ~first[at + 1] & ~first[at + 2]]
+    kind = cp.classes()
+    for side in (-1, 2):
+        beside = cps[at + side]
+        at = at[np.isin(kind[beside], (cp.LETTER, cp.NUMBER)) | (beside == LOW_LINE)]
+    joined = np.zeros(len(cps), bool)
+    joined[at] = joined[at + 1] = True
+    cps, off = cp.kept(cps, off, joined)
+    blank = (cps == 0x20) | (cps == 0x9)
+    again = np.zeros(len(cps), bool)
+    again[1:] = blank[1:] & blank[:-1]
+    cps, off = cp.kept(np.where(blank, np.uint32(0x20), cps), off, again & ~cp.row_starts(len(cps), off)[:-1])
+    cps, off = _without_edges(cps, off, cp.python_spaces()[cps] & (cps != LF), True)
+    line, first = cps == LF, cp.row_starts(len(cps), off)
+    third = np.zeros(len(cps), bool)
+    third[2:] = line[2:] & line[1:-1] & line[:-2] & ~first[2:-1] & ~first[1:-2]
+    cps, off = cp.kept(cps, off, third)
+    return _without_edges(cps, off, cp.python_spaces()[cps], False)
+
+
+def _without_edges(cps: np.ndarray, off: np.ndarray, space: np.ndarray, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without the runs of flagged code points at the edges of rows, or of their lines."""
+    start, end, row = cp.runs(space, off)
+    head, tail = start == off[row], end == off[row + 1]
+    if lines:
+        head |= cps[np.maximum(start - 1, 0)] == LF
+        tail |= cps[np.minimum(end, len(cps) - 1)] == LF
+    edge = head | tail
+    gone = np.zeros(len(cps), bool)
+    gone[cp.gather(start[edge], (end - start)[edge])] = True
+    return cp.kept(cps, off, gone)
+
+
+def words_of(t: cp.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each run without white space."""
+    return cp.runs(~cp.python_spaces()[t.cps], t.off)
+
+
+def _counts(rows: int, row: np.ndarray) -> pa.Array:
+    return pa.array(np.bincount(row, minlength=rows), pa.int32())
+
+
+def _term_lists(t: cp.Texts) -> pa.Array:
+    cps, off = folding.folded(t)
+    start, end, row = folding.term_spans(cps, off)
+    ends = np.searchsorted(row, np.arange(t.rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), folding.spans_to_arrow(cps, start, end).cast(pa.string()))
+
+
+@F.arrow_udf(StringType())
+def normalize_text(text: pa.Array) -> pa.Array:
+    """``cleaned``; null becomes empty."""
+    return cp.mapped(text, lambda t: cp.to_arrow(*cleaned(t)), pa.string())
+
+
+@F.arrow_udf(IntegerType())
+def word_count(text: pa.Array) -> pa.Array:
+    """Number of runs without white space; null has none."""
+    return cp.mapped(text, lambda t: _counts(t.rows, words_of(t)[2]), pa.int32())
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def terms(text: pa.Array) -> pa.Array:
+    """Index terms of a text: folded runs of letters and numbers; null has none."""
+    return cp.mapped(text, _term_lists, pa.list_(pa.string()))
 
 
-def spaced_words(text: Column) -> Column:
-    """Words together with the white space that follows each."""
-    return F.regexp_extract_all(text, F.lit(f"{WORD}[{WS}]*"), F.lit(0))
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit("".join(map(chr, np.flatnonzero(cp.python_spaces())))))
 
 
-def terms(text: Column) -> Column:
-    """Index terms of a text: folded runs of letters and numbers; null has none."""
-    return F.regexp_extract_all(nfc_fold(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+def is_blank(text: Column) -> Column:
+    """Null, empty or white space only."""
+    return F.coalesce(F.length(strip(text)) == 0, F.lit(True))
 
 
 def query_terms(query: str, stop_words: list[str] | None = None) -> tuple[list[str], list[str], list[str], list[str]]:
@@ -103,7 +143,7 @@ def stop_word_array(stop_words: list[str] | None = None) -> Column:
 
 
 def highlight(text: Column, tokens: Column, mark: str = "mark") -> Column:
-    """``text`` with every word marked whose folded form is among ``tokens`` (stop words count)."""
+    """``text`` with every word marked whose lower-case form is among ``tokens`` (stop words count)."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{TERM}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
     marked = F.transform(pieces, lambda p: F.when(F.array_contains(tokens, F.lower(p)), F.concat(F.lit(f"<{mark}>"), p, F.lit(f"</{mark}>"))).otherwise(p))
     return F.array_join(marked, "")

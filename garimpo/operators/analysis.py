@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,57 +118,34 @@ def tie_statistics(scored: DataFrame, by: list[str] = ()) -> DataFrame:
     return scored.groupBy(*by).agg(n.alias("n"), distinct.alias("distintos"), (n - distinct).alias("empates"))
 
 
-def _sort_work(rows: pd.DataFrame) -> dict[str, int]:
-    """Work of a bottom-up description of a halving merge sort over ranks; counts only."""
-    ranks = rows.sort_values(["score", "id_chunk"], ascending=[False, True], kind="stable").index
-    rank = pd.Series(range(len(rows)), index=ranks).reindex(rows.index).tolist()
-    score = rows["score"].tolist()
-    work = {"comparacoes_score": 0, "comparacoes_id": 0, "movimentacoes": 0, "chamadas": 0, "profundidade": 0}
-    pending, halves = [(0, len(rank), 1, False)], {}
-    while pending:
-        lo, hi, depth, split = pending.pop()
-        if not split:
-            work["chamadas"] += 1
-            work["profundidade"] = max(work["profundidade"], depth)
-            if hi - lo <= 1:
-                halves[lo, hi] = list(range(lo, hi))
-                continue
-            mid = lo + (hi - lo) // 2
-            pending += [(lo, hi, depth, True), (mid, hi, depth + 1, False), (lo, mid, depth + 1, False)]
-            continue
-        mid = lo + (hi - lo) // 2
-        left, right = halves.pop((lo, mid)), halves.pop((mid, hi))
-        merged = sorted(left + right, key=rank.__getitem__)
-        # each output before one side is used up costs one look at both heads
-        side = set(left)
-        a, b = len(left), len(right)
-        heads = [0, 0]
-        for item in merged:
-            if heads[0] < a and heads[1] < b:
-                work["comparacoes_score"] += 1
-                work["comparacoes_id"] += score[left[heads[0]]] == score[right[heads[1]]]
-            heads[item not in side] += 1
-            work["movimentacoes"] += 1
-        halves[lo, hi] = merged
-    return work
-
-
-def sort_counters(ranked: DataFrame, by: str, order: str) -> DataFrame:
-    """Comparisons, moves, calls and depth that a merge sort of each group's candidates, in their given order, costs.
-
-    These counts depend on the order of the input and have no relational form;
-    a group has to fit into one task, which holds for the candidates of one experiment.
-    """
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order).reset_index(drop=True)
-        work = _sort_work(rows)
-        total = work["comparacoes_score"] + work["comparacoes_id"]
-        return pd.DataFrame([{by: rows[by].iloc[0], "n": len(rows), **work, "comparacoes": total}])
+def sort_counters(items: DataFrame, n: int) -> DataFrame:
+    """One row: the work of a halving merge sort of ``n`` items (p, r, score): place in the given order from 0, rank in the sorted one from 1.
 
-    kind = ranked.schema[by].dataType.simpleString()
-    names = "n bigint, comparacoes_score bigint, comparacoes_id bigint, movimentacoes bigint, chamadas bigint, profundidade bigint, comparacoes bigint"
-    return ranked.groupBy(by).applyInPandas(count, f"{by} {kind}, {names}")
+    Each item stands in one part at every depth. A merge compares once for each item that it puts out
+    before one of its sides is used up, which are those up to the lesser of both sides' last ranks; ids are compared
+    where the other side still holds an equal score. So all counts are groupings by part, and no task holds a part.
+    """
+    depth = max(n - 1, 0).bit_length()
+    at = items.select(F.col("p").cast("bigint").alias("p"), F.col("r").cast("bigint").alias("r"), "score", F.lit(0).cast("bigint").alias("__lo"), F.lit(n).cast("bigint").alias("__hi"))
+    steps = F.sequence(F.lit(0), F.lit(max(depth - 1, 0)))
+
+    def halve(part: Column, _: Column) -> Column:
+        lo, hi, seen = part.lo, part.hi, part.seen
+        mid = F.floor((lo + hi) / 2).cast("bigint")
+        left = F.col("p") < mid
+        here = F.when(hi - lo > 1, F.array(F.struct(lo.alias("lo"), hi.alias("hi"), left.alias("a")))).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint,a:boolean>>"))
+        return F.struct(F.when(left, lo).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(hi).alias("hi"), F.concat(seen, here).alias("seen"))
+
+    start = F.struct(F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.array().cast("array<struct<lo:bigint,hi:bigint,a:boolean>>").alias("seen"))
+    parts = at.select("r", "score", F.explode(F.aggregate(steps, start, halve).seen).alias("x")).select("r", "score", "x.lo", "x.hi", "x.a")
+    last = parts.groupBy("lo", "hi").agg(F.max(F.when(F.col("a"), F.col("r"))).alias("ra"), F.max(F.when(~F.col("a"), F.col("r"))).alias("rb"))
+    equal = parts.groupBy("lo", "hi", "score").agg(F.max(F.when(F.col("a"), F.col("r"))).alias("ea"), F.max(F.when(~F.col("a"), F.col("r"))).alias("eb"))
+    joined = parts.join(last, ["lo", "hi"]).join(equal, ["lo", "hi", "score"])
+    compared = F.col("r") <= F.least("ra", "rb")
+    tie = compared & F.coalesce(F.when(F.col("a"), F.col("eb")).otherwise(F.col("ea")) > F.col("r"), F.lit(False))
+    counts = joined.agg(F.count_if(compared).alias("comparacoes_score"), F.count_if(tie).alias("comparacoes_id"))
+    calls, levels, moves = sort_closed_forms(F.lit(n))
+    return counts.select(F.lit(n).cast("bigint").alias("n"), "comparacoes_score", "comparacoes_id", moves, calls, levels, (F.col("comparacoes_score") + F.col("comparacoes_id")).alias("comparacoes"))
 
 
 def size_points(total: int, steps: int) -> Iterator[int]:

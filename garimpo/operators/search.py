@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import text as tx
 from garimpo.functions.scoring import K1, B, idf, tf_weight
-from garimpo.operators.index import Index
+from garimpo.operators.index import Index, analyse
+from garimpo.workdir import materialize
 
+UNIT = 1 << 40  # a score of 1 in exact sums
 WARNING = "Consulta sem termos úteis após a remoção de stop words."
 
 
@@ -32,16 +34,11 @@ def _score(parts: Column, metric: str) -> Column:
 
 
 def score_matches(index: Index, matches: DataFrame, metric: str = "bm25", k1: float = K1, b: float = B, by: list[str] = ()) -> DataFrame:
-    """(by, id_chunk, score, frequencias_termos, termos) from matched postings (by, ord, term, id_chunk, tf, df).
+    """(by, id_chunk, score, frequencias_termos, termos) from matched postings (by, ord, term, id_chunk, tf, dl, df).
 
     BM25 is rounded to four places; a chunk's matched terms, at most as many as the query has, come together.
     """
-    if metric == "bm25":
-        matches = matches.join(index.lengths, "id_chunk")
-        weight = tf_weight(F.col("tf"), F.col("dl"), F.lit(float(index.mean_length)), k1, b)
-        matches = matches.withColumn("part", idf(F.lit(index.n), F.col("df")) * weight)
-    else:
-        matches = matches.withColumn("part", F.lit(0.0))
+    matches = matches.withColumn("part", _part(index, k1, b) if metric == "bm25" else F.lit(0.0))
     entry = F.struct("ord", "term", "tf", "part")
     grouped = matches.groupBy(*by, "id_chunk").agg(F.array_sort(F.collect_list(entry)).alias("__m"))
     score = _score(F.col("__m"), metric)
@@ -51,6 +48,11 @@ def score_matches(index: Index, matches: DataFrame, metric: str = "bm25", k1: fl
     )
 
 
+def _part(index: Index, k1: float, b: float) -> Column:
+    """What a posting (tf, dl, df) adds to a score."""
+    return idf(F.lit(index.n), F.col("df")) * tf_weight(F.col("tf"), F.col("dl"), F.lit(float(index.mean_length)), k1, b)
+
+
 def search_index(
     index: Index, query: str, metric: str = "bm25", k1: float = K1, b: float = B, mode: str = "or", document: str | None = None, only_positive: bool = True
 ) -> DataFrame:
@@ -78,12 +80,11 @@ def search_scan(index: Index, query: str, metric: str = "bm25", k1: float = K1,
     """The candidates of ``search_index``, found by reading every chunk instead of the index."""
     check_parameters(0, k1, b, metric)
     terms = tx.query_terms(query)[3]
-    tokens = index.chunks.select("id_chunk", tx.terms(F.col(text)).alias("__t"))
-    wanted = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(t).alias("term")) for i, t in enumerate(terms))) if terms else F.array().cast("array<struct<ord:int,term:string>>")
-    counted = F.transform(wanted, lambda w: F.struct(w.ord.alias("ord"), w.term.alias("term"), F.size(F.filter("__t", lambda x: x == w.term)).cast("bigint").alias("tf")))
-    found = tokens.select("id_chunk", F.explode(counted).alias("m")).select("id_chunk", "m.ord", "m.term", "m.tf").where("tf > 0")
+    found = analyse(index.chunks, "id_chunk", text, terms).where("term is not null")
     frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
-    return score_matches(index, found.join(F.broadcast(frequencies), "term"), metric, k1, b).where("score > 0")
+    # one row a query term
+    matches = found.join(F.broadcast(_terms(index, terms)), "term").join(F.broadcast(frequencies), "term")
+    return score_matches(index, matches, metric, k1, b).where("score > 0")
 
 
 def ordered(candidates: DataFrame) -> DataFrame:
@@ -105,29 +106,65 @@ def with_attributes(candidates: DataFrame, index: Index) -> DataFrame:
     return out.withColumns({"texto": F.coalesce("texto", F.lit("")), "paginas": F.coalesce("paginas", F.array().cast("array<int>"))})
 
 
+def _distinct_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): repeated terms of a query count once."""
+    return queries.where(F.col("term").isNotNull()).select("query_id", "term").distinct()
+
+
+def _weighed(index: Index, terms: DataFrame, metric: str, k1: float, b: float) -> DataFrame:
+    """(term, id_chunk, part): what each posting of the terms adds to a score, in whole units, so that sums don't depend on their order."""
+    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    if metric == "simples":
+        return asked.select("term", "id_chunk", F.col("tf").alias("part"))
+    # a posting's weight is the same in every query: it is worked out once for each posting
+    frequencies = asked.groupBy("term").agg(F.count("*").alias("df"))
+    return asked.join(frequencies, "term").select("term", "id_chunk", F.round(_part(index, k1, b) * UNIT).cast("bigint").alias("part"))
+
+
+def _scores(matches: DataFrame, metric: str) -> DataFrame:
+    """(query_id, id_chunk, score) from (query_id, id_chunk, part); positive scores only."""
+    total = F.sum("part")
+    score = F.round(total / F.lit(float(UNIT)), 4) if metric == "bm25" else total
+    return matches.groupBy("query_id", "id_chunk").agg(score.alias("score")).where("score > 0")
+
+
+def batch_scores(index: Index, queries: DataFrame, metric: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id_chunk, score) of every chunk with a term of each query (query_id, ord, term)."""
+    check_parameters(0, k1, b, metric)
+    distinct = _distinct_terms(queries)
+    return _scores(distinct.join(_weighed(index, distinct, metric, k1, b), "term"), metric)
+
+
 def batch_search(index: Index, queries: DataFrame, k: int = 5, metric: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, posicao, id_chunk, score) of many queries at once from (query_id, ord, term).
+    """(query_id, posicao, id_chunk, score) of the first ``k`` chunks of many queries at once, from (query_id, ord, term).
 
-    Repeated terms of a query count once, at their first place. A term in many
-    queries and many chunks is a skewed join key: adaptive execution splits it.
-    Before the ranking each task keeps ``k`` rows a query.
+    Chunks that can't be among the first are never scored. The ``k``-th best posting of any term of a query is a
+    bound that the query's first ``k`` reach. Terms whose greatest parts together stay below it can't lift a
+    chunk there alone: only postings of the other terms propose chunks, and of these only such as
+    reach the bound with the greatest parts of the other terms. The frequent terms of a query are so
+    looked up for the proposed chunks alone. The result is that of scoring everything.
     """
     check_parameters(k, k1, b, metric)
-    distinct = queries.where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.min("ord").alias("ord"))
-    asked = index.postings.join(distinct.select("term").distinct(), "term", "left_semi")
-    if metric == "bm25":
-        # a posting's weight is the same in every query: it is worked out once for each posting
-        frequencies = asked.groupBy("term").agg(F.count("*").alias("df"))
-        weighed = asked.join(frequencies, "term").join(index.lengths, "id_chunk")
-        weight = idf(F.lit(index.n), F.col("df")) * tf_weight(F.col("tf"), F.col("dl"), F.lit(float(index.mean_length)), k1, b)
-        total = F.round(F.sum("part"), 4)
-    else:
-        weighed, weight, total = asked, F.col("tf"), F.sum("part")
-    matches = distinct.select("query_id", "term").join(weighed.select("term", "id_chunk", weight.alias("part")), "term")
-    scored = matches.groupBy("query_id", "id_chunk").agg(total.alias("score")).where("score > 0")
+    distinct = materialize(_distinct_terms(queries), "perguntas")
+    weighed = materialize(_weighed(index, distinct, metric, k1, b), "pesos")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id_chunk"))
-    ranked = scored.withColumn("posicao", F.row_number().over(order))
-    return (ranked.where(F.col("posicao") <= k) if k else ranked).select("query_id", "posicao", "id_chunk", "score")
+    if k == 0:
+        scored = _scores(distinct.join(weighed, "term"), metric)
+        return scored.select("query_id", F.row_number().over(order).alias("posicao"), "id_chunk", "score")
+    best = Window.partitionBy("term").orderBy(F.col("part").desc())
+    first = weighed.select("term", "part", F.row_number().over(best).alias("__r")).where(F.col("__r") <= k)  # k rows a term
+    bounds = first.groupBy("term").agg(F.max("part").alias("most"), F.max(F.when(F.col("__r") == k, F.col("part"))).alias("kth"))
+    asked = distinct.join(bounds, "term")
+    # of each query, terms by their greatest part: those before the bound is reached propose nothing
+    rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("query_id")
+    slack = 0 if metric == "simples" else UNIT // 10_000  # scores are rounded to four places
+    asked = asked.withColumns({"bound": F.coalesce(F.max("kth").over(whole), F.lit(1)) - slack, "together": F.sum("most").over(rising), "all": F.sum("most").over(whole)})
+    proposing = asked.where(F.col("together") >= F.col("bound")).select("query_id", "term", (F.col("bound") - F.col("all") + F.col("most")).alias("least"))
+    proposed = proposing.join(weighed, "term").where(F.col("part") >= F.col("least")).select("query_id", "id_chunk").distinct()
+    matches = proposed.join(distinct, "query_id").join(weighed, ["term", "id_chunk"])
+    ranked = _scores(matches, metric).withColumn("posicao", F.row_number().over(order))
+    return ranked.where(F.col("posicao") <= k).select("query_id", "posicao", "id_chunk", "score")
 
 
 def search_metrics(index: Index, query: str) -> DataFrame:
@@ -148,9 +185,10 @@ def same_ranking(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def battery(index: Index, queries: list[tuple[str, str]], k: int = 5) -> DataFrame:
-    """Each (kind, query) by scan and by index: candidates, returned, empty, warning, same ranking. One plan for all.
+    """Each (kind, query) by scan and by index: candidates, returned, empty, warning, equal results. One plan for all.
 
-    Both access paths run for every query over the queries' terms as one batch.
+    Both access paths run for every query over the queries' terms as one batch, each with its own frequencies and
+    lengths. Results are equal if both give the same chunks with the same scores: then they rank them alike.
     """
     spark = index.spark
     rows, terms = [], []
@@ -160,19 +198,16 @@ def battery(index: Index, queries: list[tuple[str, str]], k: int = 5) -> DataFra
         terms += [(i, o, t) for o, t in enumerate(distinct)]
     asked = spark.createDataFrame(rows, "query_id int, categoria string, consulta string, m int")
     wanted = spark.createDataFrame(terms, "query_id int, ord int, term string")
-    by_index = batch_search(index, wanted, 0)
-    tokens = index.chunks.select("id_chunk", F.explode(tx.terms(F.col("texto"))).alias("term")).join(F.broadcast(wanted), "term")
-    counted = tokens.groupBy("query_id", "ord", "term", "id_chunk").agg(F.count("*").alias("tf"))
-    frequencies = counted.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    scored = score_matches(index, counted.join(frequencies, ["query_id", "term"]), by=["query_id"]).where("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id_chunk"))
-    by_scan = scored.withColumn("posicao", F.row_number().over(order)).select("query_id", "posicao", F.col("id_chunk").alias("b"))
-    both = by_index.select("query_id", "posicao", F.col("id_chunk").alias("a")).join(by_scan, ["query_id", "posicao"], "full")
-    counts = both.groupBy("query_id").agg(
-        F.count("a").alias("por_indice"), F.count("b").alias("por_varredura"), F.count_if((F.col("posicao") <= k) & ~F.col("a").eqNullSafe(F.col("b"))).alias("diferencas_topo")
-    )
-    out = asked.join(counts, "query_id", "left").fillna(0, ["por_indice", "por_varredura", "diferencas_topo"])
+    by_index = batch_scores(index, wanted).select("query_id", "id_chunk", F.col("score").alias("a"))
+    # one pass over the texts; the queries' terms are a few literal rows
+    found = analyse(index.chunks, terms=sorted({t for _, _, t in terms})).where("term is not null")
+    frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
+    scanned = found.join(F.broadcast(frequencies), "term").join(F.broadcast(wanted), "term")
+    by_scan = score_matches(index, scanned, by=["query_id"]).where("score > 0").select("query_id", "id_chunk", F.col("score").alias("b"))
+    both = by_index.join(by_scan, ["query_id", "id_chunk"], "full")
+    counts = both.groupBy("query_id").agg(F.count("a").alias("por_indice"), F.count("b").alias("por_varredura"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("diferencas"))
+    out = asked.join(counts, "query_id", "left").fillna(0, ["por_indice", "por_varredura", "diferencas"])
     return out.select(
         "query_id", "categoria", "consulta", "por_indice", "por_varredura", F.least("por_indice", F.lit(k)).alias("retornados"), (F.col("por_indice") == 0).alias("vazio"),
-        (F.col("diferencas_topo") == 0).alias("topo_igual"), F.when(F.col("m") == 0, F.lit(WARNING)).alias("aviso"),
+        (F.col("diferencas") == 0).alias("iguais"), F.when(F.col("m") == 0, F.lit(WARNING)).alias("aviso"),
     )

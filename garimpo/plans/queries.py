@@ -14,6 +14,7 @@ from garimpo.functions import text as tx
 from garimpo.functions.scoring import idf
 from garimpo.operators import analysis, chunking, explore, search
 from garimpo.operators import index as ix
+from garimpo.operators.latest import latest_rows
 from garimpo.operators.ordinals import global_ordinal
 from garimpo.plans import goldens
 from garimpo.plans.registry import query, read
@@ -68,17 +69,16 @@ _indexes: dict[tuple[str, str], ix.Index] = {}
 
 
 def collection(spark: SparkSession, d: str) -> DataFrame:
-    """The latest row of every chunk."""
-    w = Window.partitionBy("id_chunk").orderBy(F.col("carregado_em").desc_nulls_last())
+    """The latest row of every chunk (of equally late ones the greater text); only the rows of repeated chunks move."""
     rows = read(spark, d, "chunks").where(F.col("id_chunk").isNotNull())
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return latest_rows(rows, ["id_chunk"], "carregado_em", [F.col("texto").desc_nulls_last()])
 
 
 def index_of(spark: SparkSession, d: str) -> ix.Index:
     """The index of the folder's chunks, built at its first use in an application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        _indexes[key] = ix.Index.build(materialize(collection(spark, d), "colecao"))
+        _indexes[key] = ix.Index.build(collection(spark, d))
     return _indexes[key]
 
 
@@ -104,7 +104,7 @@ select doc_id, t as texto, len({sql_words("t")})::integer as quantidade_palavras
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned texts of all documents."""
     cleaned = read(spark, d, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("texto"))
-    return cleaned.select("doc_id", "texto", F.size(tx.words(F.col("texto"))).alias("quantidade_palavras"), F.length("texto").alias("quantidade_caracteres"))
+    return cleaned.select("doc_id", "texto", tx.word_count(F.col("texto")).alias("quantidade_palavras"), F.length("texto").alias("quantidade_caracteres"))
 
 
 @query(f"""
@@ -205,9 +205,8 @@ select id_documento, (k + 1)::integer ordem_chunk_documento, min(a)::integer ini
 
 
 def latest_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The latest row of every page."""
-    w = Window.partitionBy("id_documento", "numero_pagina").orderBy(F.col("carregado_em").desc_nulls_last())
-    return read(spark, d, "pages_norm").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The latest row of every page; only the rows of repeated pages move."""
+    return latest_rows(read(spark, d, "pages_norm"), ["id_documento", "numero_pagina"], "carregado_em", [F.col("texto_normalizado").desc_nulls_last()])
 
 
 @query(_PAGES_SQL)
@@ -233,7 +232,7 @@ select count(*) total_chunks, count(*) filter (len(paginas) > 1) chunks_entre_pa
   round(avg(n), 2) media_palavras, min(n)::integer menor, max(n)::integer maior, sum(n)::bigint soma_palavras from w""")
 def chunk_report(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the chunks, words counted from their texts."""
-    return chunking.chunk_report(collection(spark, d), F.size(tx.words(F.col("texto"))), F.col("paginas"))
+    return chunking.chunk_report(collection(spark, d), tx.word_count(F.col("texto")), F.col("paginas"))
 
 
 @query(f"""
@@ -245,7 +244,7 @@ select coalesce(a.id_documento, r.id_documento) id_documento, coalesce(quantidad
 def chunk_report_by_doc(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every document counted anew, next to the recorded count."""
     own = collection(spark, d).groupBy("id_documento").agg(
-        F.count("*").alias("quantidade_chunks"), F.count_if(F.size("paginas") > 1).alias("entre_paginas"), F.sum(F.size(tx.words(F.col("texto")))).alias("palavras")
+        F.count("*").alias("quantidade_chunks"), F.count_if(F.size("paginas") > 1).alias("entre_paginas"), F.sum(tx.word_count(F.col("texto"))).alias("palavras")
     )
     recorded = read(spark, d, "relatorio_chunking").groupBy("id_documento").agg(F.max("quantidade_chunks").alias("registrada"), F.max("paginas_com_conteudo").alias("paginas_com_conteudo"))
     return own.join(recorded, "id_documento", "full").fillna(0, ["quantidade_chunks", "entre_paginas", "palavras"])
@@ -260,12 +259,10 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return index_of(spark, d).postings.select("term", "id_chunk", "tf")
 
 
-@query(f"with {INDEX} select term, string_agg(id_chunk || ':' || tf, ' ' order by id_chunk) chunks, sum(tf)::bigint frequencia_total from post group by term")
+@query(f"with {INDEX} select term, id_chunk, tf frequencia from post")
 def postings_list_nested(spark: SparkSession, d: str) -> DataFrame:
-    """The nested index, postings written out in key order."""
-    made = ix.nested(index_of(spark, d).postings)
-    listed = F.array_join(F.transform("chunks", lambda x: F.concat(x.id_chunk, F.lit(":"), x.frequencia.cast("string"))), " ")
-    return made.select("term", listed.alias("chunks"), "frequencia_total")
+    """The nested index, in blocks of each term, unfolded again."""
+    return ix.nested(index_of(spark, d).postings).select("term", F.explode("chunks").alias("x")).select("term", "x.id_chunk", "x.frequencia")
 
 
 @query(f"with {INDEX} select * from voc")
@@ -280,11 +277,11 @@ def index_totals(spark: SparkSession, d: str) -> DataFrame:
     return ix.index_totals(index_of(spark, d).postings)
 
 
-@query(f"with {INDEX} select post.* from post join c using (id_chunk) where not ordem_global % 2 = 1")
+@query(f"with {INDEX} select post.* from post left join c using (id_chunk) where c.id_documento is null and not exists (select 1 from c x where x.id_chunk = post.id_chunk)")
 def orphan_postings(spark: SparkSession, d: str) -> DataFrame:
-    """Postings left without a chunk when the chunks of even ordinals are taken away."""
+    """Postings without a chunk: none."""
     index = index_of(spark, d)
-    return ix.orphans(index.postings, index.chunks.where("ordem_global % 2 = 1")).select("term", "id_chunk", "tf")
+    return ix.orphans(index.postings, index.chunks).select("term", "id_chunk", "tf")
 
 
 @query(f"with {INDEX} select n, round(avgdl, 6) avgdl, total from st")
@@ -407,7 +404,7 @@ def search_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select 1::integer posicao, '' a, '' b where false")
 def search_linear_vs_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Places in which the full rankings of scan and index differ: none."""
+    """Places in which the full rankings of scan and index differ, both by SQL too: none."""
     index = index_of(spark, d)
     return search.same_ranking(ranked(search.search_index(index, goldens.QUERY)), ranked(search.search_scan(index, goldens.QUERY)))
 
@@ -423,7 +420,7 @@ def _robust_sql(tail: str) -> str:
   r as (select b.*, coalesce(k, 0) k, coalesce(m, 0) m from b left join n using (query_id) left join m using (query_id)) {tail}"""
 
 
-@query(_robust_sql(f"""select query_id, categoria, consulta, k por_indice, k por_varredura, least(k, 5) retornados, k = 0 vazio, true topo_igual,
+@query(_robust_sql(f"""select query_id, categoria, consulta, k por_indice, k por_varredura, least(k, 5) retornados, k = 0 vazio, true iguais,
   case when m = 0 then '{search.WARNING}' end aviso from r"""))
 def robustness_battery(spark: SparkSession, d: str) -> DataFrame:
     """The battery of difficult queries on both access paths."""
@@ -434,7 +431,7 @@ def robustness_battery(spark: SparkSession, d: str) -> DataFrame:
 def robustness_rates(spark: SparkSession, d: str) -> DataFrame:
     """Share of empty results of the battery, and whether both access paths agree on all."""
     runs = search.battery(index_of(spark, d), list(goldens.BATTERY))
-    return runs.agg(F.count("*").alias("consultas"), F.count_if("vazio").alias("vazias"), F.round(F.avg(F.col("vazio").cast("int")), 4).alias("taxa_vazias"), F.every("topo_igual").alias("todas_iguais"))
+    return runs.agg(F.count("*").alias("consultas"), F.count_if("vazio").alias("vazias"), F.round(F.avg(F.col("vazio").cast("int")), 4).alias("taxa_vazias"), F.every("iguais").alias("todas_iguais"))
 
 
 @query(f"""with {INDEX}, q as (select query_id, term, min(ord) ord from query_terms where term is not null group by all),
@@ -658,12 +655,28 @@ def merge_sort_closed_forms(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(5000).select(F.col("id").alias("n"), *analysis.sort_closed_forms(F.col("id")))
 
 
-@query()
+_MERGE = f"""
+with recursive {INDEX}, {ASKED}, {sql_bm25()}, o as (select score, row_number() over (order by ordem_global, cand.id_chunk) - 1 p, row_number() over (order by score desc, cand.id_chunk) r
+    from cand join c on c.id_chunk = cand.id_chunk where score > 0),
+  parts as (select 0::bigint lo, (select count(*) from o) hi, 1 depth union all
+    select unnest([lo, lo + (hi - lo) // 2]), unnest([lo + (hi - lo) // 2, hi]), depth + 1 from parts where hi - lo > 1),
+  x as (select lo, hi, r, score, p < lo + (hi - lo) // 2 a from parts join o on p >= lo and p < hi where hi - lo > 1),
+  l as (select lo, hi, least(max(r) filter (a), max(r) filter (not a)) z from x group by lo, hi),
+  y as (select x.* from x join l using (lo, hi) where r <= z),
+  s as (select (select count(*) from y) cs, (select count(*) from y where exists (select 1 from x where x.lo = y.lo and x.hi = y.hi and x.a <> y.a and x.score = y.score and x.r > y.r)) ci)
+select (select count(*) from o) n, cs comparacoes_score, ci comparacoes_id, (select coalesce(sum(hi - lo) filter (hi - lo > 1), 0)::bigint from parts) movimentacoes,
+  (select count(*) from parts) chamadas, (select max(depth) from parts)::integer profundidade, cs + ci comparacoes from s"""
+
+
+@query(_MERGE)
 def merge_sort_counters(spark: SparkSession, d: str) -> DataFrame:
     """Work of a merge sort of the query's candidates in chunk order."""
     index = index_of(spark, d)
-    found = search.search_index(index, goldens.QUERY).select("id_chunk", "score").join(index.chunks.select("id_chunk", "ordem_global"), "id_chunk")
-    return analysis.sort_counters(found.withColumn("consulta", F.lit(goldens.QUERY)), "consulta", "ordem_global")
+    found = search.search_index(index, goldens.QUERY).select("id_chunk", "score", (-F.col("score")).alias("__s"))
+    found = found.join(index.chunks.select("id_chunk", "ordem_global"), "id_chunk")
+    placed = global_ordinal(global_ordinal(found, ["__s", "id_chunk"], "r"), ["ordem_global", "id_chunk"], "p")
+    placed = materialize(placed.select((F.col("p") - 1).alias("p"), "r", "score"), "candidatos")
+    return analysis.sort_counters(placed, placed.count())
 
 
 _FRACTIONS = 8

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from garimpo.functions.scoring import idf, tf_weight
 from garimpo.functions.text import query_terms
 from garimpo.operators import analysis, explore, search
-from garimpo.operators.index import Index, orphans
+from garimpo.operators.index import Index, nested, orphans
 
 SCHEMA = "id_chunk string, id_documento string, nome_arquivo string, paginas array<int>, ordem_global bigint, texto string"
 
@@ -118,11 +118,37 @@ def test_batch_equals_single(spark, index):
     assert 4 not in got
 
 
+@pytest.mark.parametrize("k", [1, 3, 10])
+@pytest.mark.parametrize("metric", ["bm25", "simples"])
+def test_pruning_loses_nothing(spark, k, metric):
+    """Queries of rare and frequent terms over chunks of very uneven terms and many ties: the same as scoring everything."""
+    r = random.Random(k)
+    words = [f"t{i}" for i in range(30)]
+    rows = [(f"c{i}", "d", "f", [1], i, " ".join(w for j, w in enumerate(words) for _ in range(r.choice([0, 0, 1, 2]) if r.random() < 2 / (j + 2) else 0))) for i in range(300)]
+    made = Index.build(spark.createDataFrame(rows, SCHEMA))
+    asked = spark.createDataFrame([(q, o, t) for q in range(60) for o, t in enumerate(r.sample([*words, "nada"], r.randint(1, 4)))], "query_id int, ord int, term string")
+    everything: dict = {}
+    for x in search.batch_scores(made, asked, metric).collect():
+        everything.setdefault(x["query_id"], []).append((-x["score"], x["id_chunk"]))
+    got: dict = {}
+    for x in search.batch_search(made, asked, k, metric).orderBy("query_id", "posicao").collect():
+        got.setdefault(x["query_id"], []).append((-x["score"], x["id_chunk"]))
+    assert got == {q: sorted(found)[:k] for q, found in everything.items()}
+
+
+def test_nested_blocks_are_bounded(spark):
+    post = spark.range(20000).selectExpr("if(id % 4 = 0, concat('t', id % 97), 'quente') term", "format_string('c%05d', id) id_chunk", "1L tf")
+    rows = nested(post, block=1000).collect()
+    assert max(len(r["chunks"]) for r in rows) < 2000 and sum(len(r["chunks"]) for r in rows) == 20000
+    hot = [x["id_chunk"] for r in sorted((r for r in rows if r["term"] == "quente"), key=lambda r: r["bloco"]) for x in r["chunks"]]
+    assert hot == sorted(hot) and sum(r["frequencia"] for r in rows) == 20000
+
+
 def test_battery(index):
     rows = search.battery(index, [("a", "bolsa prazo"), ("b", ""), ("c", "de o"), ("d", "inexistente")]).orderBy("query_id").collect()
     assert [r["vazio"] for r in rows] == [False, True, True, True]
     assert [r["aviso"] is None for r in rows] == [True, False, False, True]
-    assert all(r["topo_igual"] for r in rows) and rows[0]["por_indice"] == rows[0]["por_varredura"] == len(plain(corpus(), "bolsa prazo"))
+    assert all(r["iguais"] for r in rows) and rows[0]["por_indice"] == rows[0]["por_varredura"] == len(plain(corpus(), "bolsa prazo"))
 
 
 def test_restricted_and_orphans(spark, index):
@@ -180,8 +206,9 @@ def test_sort_counters(spark, n):
 
     halve(items)
     if n:
-        df = spark.createDataFrame([("q", i, *x) for i, x in enumerate(items)], "q string, i int, id_chunk string, score double")
-        got = analysis.sort_counters(df, "q", "i").first()
+        rank = {x: k + 1 for k, x in enumerate(sorted(items, key=lambda x: (-x[1], x[0])))}
+        df = spark.createDataFrame([(i, rank[x], x[1]) for i, x in enumerate(items)], "p int, r int, score double")
+        got = analysis.sort_counters(df, n).first()
         assert (got["chamadas"], got["profundidade"], got["comparacoes_score"], got["comparacoes_id"], got["movimentacoes"]) == (
             work["chamadas"], work["profundidade"], work["score"], work["id"], work["mov"])
     closed = spark.range(n, n + 1).select(*analysis.sort_closed_forms(F.col("id"))).first()
