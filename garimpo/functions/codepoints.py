@@ -97,16 +97,19 @@ def to_arrow(cps: np.ndarray, off: np.ndarray, valid: np.ndarray | None = None)
     return text.cast(pa.string()) if at[-1] < 2**31 else text
 
 
+def assigned() -> range:
+    """The code points up to the last plane with letters; beyond it there are only unassigned and private ones and format characters."""
+    return range(0x40000)
+
+
 @functools.cache
 def classes() -> np.ndarray:
     """One class for each code point, from the general categories."""
     by = {"L": LETTER, "N": NUMBER, "M": MARK, "P": PUNCT}
-    category = unicodedata.category
-    out = np.fromiter(
-        (by.get((c := category(chr(i)))[0], FORMAT if c == "Cf" else CONTROL if c == "Cc" else OTHER) for i in range(sys.maxunicode + 1)),
-        np.uint8,
-        sys.maxunicode + 1,
-    )
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for part in (assigned(), range(0xE0000, 0xE1000)):
+        names = map(unicodedata.category, map(chr, part))
+        out[part.start : part.stop] = np.fromiter((by.get(c[0], FORMAT if c == "Cf" else CONTROL if c == "Cc" else OTHER) for c in names), np.uint8, len(part))
     out[list(WHITE_SPACE)] = SPACE
     return out
 

@@ -19,37 +19,30 @@ from garimpo.functions import hashing as hs
 
 @functools.cache
 def _folds() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(may change under NFC, length and offset of the folded sequence of each code point, pool of sequences)."""
+    """(may change under NFC, length and offset of the folded sequence of each code point, pool of sequences).
+
+    All characters are composed and folded in one call each, with NULs between them.
+    """
     n = sys.maxunicode + 1
     length, offset, unsure = np.ones(n, np.int64), np.arange(n), np.zeros(n, bool)
+    chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in cp.assigned()]
+    chars[0] = " "
+    text = "\0".join(chars)
+    unsure[[i for i, (c, x) in enumerate(zip(chars, unicodedata.normalize("NFC", text).split("\0"))) if c != x]] = True
+    unsure[[i for i in np.flatnonzero(cp.classes() == cp.MARK).tolist() if unicodedata.combining(chr(i))]] = True
+    unsure[0x1161:0x1176] = unsure[0x11A8:0x11C3] = True
+    # second parts of compositions: what a decomposed character holds beyond its first
+    for c, x in zip(chars, unicodedata.normalize("NFD", text).split("\0")):
+        if len(x) > 1:
+            unsure[[ord(y) for y in x[1:]]] = True
     pool: list[int] = []
-    for i in range(n):
-        if 0xD800 <= i < 0xE000:
-            continue
-        c = chr(i)
-        if not unicodedata.is_normalized("NFC", c) or unicodedata.combining(c) or i in _JOINERS:
-            unsure[i] = True
-        folded = c.casefold()
-        if folded != c:
-            length[i], offset[i] = len(folded), n + len(pool)
-            pool += map(ord, folded)
+    for i, (c, x) in enumerate(zip(chars, text.casefold().split("\0"))):
+        if c != x:
+            length[i], offset[i] = len(x), n + len(pool)
+            pool += map(ord, x)
     return unsure, length, offset, np.concatenate([np.arange(n, dtype=np.uint32), np.array(pool, np.uint32)])
 
 
-@functools.cache
-def _second_parts() -> frozenset[int]:
-    """Code points that are the second part of a composition."""
-    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    for i in range(0xC0, sys.maxunicode + 1):
-        d = unicodedata.decomposition(chr(i)) if not 0xD800 <= i < 0xE000 else ""
-        if d and d[0] != "<" and " " in d:
-            seconds.add(int(d.split()[1], 16))
-    return frozenset(seconds)
-
-
-_JOINERS = _second_parts()
-
-
 def composed(t: cp.Texts) -> tuple[np.ndarray, np.ndarray]:
     """(code points, row offsets) of the texts in NFC."""
     unsure, _, _, _ = _folds()

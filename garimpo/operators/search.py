@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import text as tx
 from garimpo.functions.scoring import K1, B, idf, tf_weight
+from garimpo.operators.blocks import best_in_blocks
 from garimpo.operators.index import Index, analyse
 from garimpo.workdir import materialize
 
@@ -80,7 +81,7 @@ def search_scan(index: Index, query: str, metric: str = "bm25", k1: float = K1,
     """The candidates of ``search_index``, found by reading every chunk instead of the index."""
     check_parameters(0, k1, b, metric)
     terms = tx.query_terms(query)[3]
-    found = analyse(index.chunks, "id_chunk", text, terms).where("term is not null")
+    found = materialize(analyse(index.chunks, "id_chunk", text, terms).where("term is not null"), "achados")  # one pass over the texts
     frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
     # one row a query term
     matches = found.join(F.broadcast(_terms(index, terms)), "term").join(F.broadcast(frequencies), "term")
@@ -136,35 +137,24 @@ def batch_scores(index: Index, queries: DataFrame, metric: str = "bm25", k1: flo
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 5, metric: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, posicao, id_chunk, score) of the first ``k`` chunks of many queries at once, from (query_id, ord, term).
+    """(query_id, posicao, id_chunk, score) of the first ``k`` chunks of many queries at once, from (query_id, ord, term); all for 0.
 
-    Chunks that can't be among the first are never scored. The ``k``-th best posting of any term of a query is a
-    bound that the query's first ``k`` reach. Terms whose greatest parts together stay below it can't lift a
-    chunk there alone: only postings of the other terms propose chunks, and of these only such as
-    reach the bound with the greatest parts of the other terms. The frequent terms of a query are so
-    looked up for the proposed chunks alone. The result is that of scoring everything.
+    Queries with the same terms are answered once. They meet the chunks in blocks (``blocks``): work grows with the matches,
+    what moves with the first ``k`` of each block. Repeated terms of a query count once.
     """
     check_parameters(k, k1, b, metric)
-    distinct = materialize(_distinct_terms(queries), "perguntas")
-    weighed = materialize(_weighed(index, distinct, metric, k1, b), "pesos")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id_chunk"))
     if k == 0:
-        scored = _scores(distinct.join(weighed, "term"), metric)
-        return scored.select("query_id", F.row_number().over(order).alias("posicao"), "id_chunk", "score")
-    best = Window.partitionBy("term").orderBy(F.col("part").desc())
-    first = weighed.select("term", "part", F.row_number().over(best).alias("__r")).where(F.col("__r") <= k)  # k rows a term
-    bounds = first.groupBy("term").agg(F.max("part").alias("most"), F.max(F.when(F.col("__r") == k, F.col("part"))).alias("kth"))
-    asked = distinct.join(bounds, "term")
-    # of each query, terms by their greatest part: those before the bound is reached propose nothing
-    rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("query_id")
-    slack = 0 if metric == "simples" else UNIT // 10_000  # scores are rounded to four places
-    asked = asked.withColumns({"bound": F.coalesce(F.max("kth").over(whole), F.lit(1)) - slack, "together": F.sum("most").over(rising), "all": F.sum("most").over(whole)})
-    proposing = asked.where(F.col("together") >= F.col("bound")).select("query_id", "term", (F.col("bound") - F.col("all") + F.col("most")).alias("least"))
-    proposed = proposing.join(weighed, "term").where(F.col("part") >= F.col("least")).select("query_id", "id_chunk").distinct()
-    matches = proposed.join(distinct, "query_id").join(weighed, ["term", "id_chunk"])
-    ranked = _scores(matches, metric).withColumn("posicao", F.row_number().over(order))
-    return ranked.where(F.col("posicao") <= k).select("query_id", "posicao", "id_chunk", "score")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id_chunk"))
+        return batch_scores(index, queries, metric, k1, b).select("query_id", F.row_number().over(order).alias("posicao"), "id_chunk", "score")
+    distinct = _distinct_terms(queries)
+    # a query has few terms
+    listed = distinct.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    listed = materialize(listed, "consultas")
+    kinds = materialize(listed.select("terms").distinct().withColumn("s", F.monotonically_increasing_id()), "tipos")
+    asked = kinds.select("s", F.explode("terms").alias("term"))
+    best = best_in_blocks(asked, _weighed(index, asked, metric, k1, b), k, float(UNIT) if metric == "bm25" else 0.0)
+    score = F.col("score") if metric == "bm25" else F.col("score").cast("bigint").alias("score")
+    return listed.join(kinds, "terms").select("query_id", "s").join(best, "s").select("query_id", "posicao", "id_chunk", score)
 
 
 def search_metrics(index: Index, query: str) -> DataFrame:
@@ -200,7 +190,7 @@ def battery(index: Index, queries: list[tuple[str, str]], k: int = 5) -> DataFra
     wanted = spark.createDataFrame(terms, "query_id int, ord int, term string")
     by_index = batch_scores(index, wanted).select("query_id", "id_chunk", F.col("score").alias("a"))
     # one pass over the texts; the queries' terms are a few literal rows
-    found = analyse(index.chunks, terms=sorted({t for _, _, t in terms})).where("term is not null")
+    found = materialize(analyse(index.chunks, terms=sorted({t for _, _, t in terms})).where("term is not null"), "achados")
     frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
     scanned = found.join(F.broadcast(frequencies), "term").join(F.broadcast(wanted), "term")
     by_scan = score_matches(index, scanned, by=["query_id"]).where("score > 0").select("query_id", "id_chunk", F.col("score").alias("b"))

@@ -19,7 +19,7 @@ from garimpo.operators.ordinals import global_ordinal
 from garimpo.plans import goldens
 from garimpo.plans.registry import query, read
 from garimpo.sources import catalogue, files
-from garimpo.workdir import materialize, new_path
+from garimpo.workdir import materialize, new_path, spread
 
 WS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -70,7 +70,7 @@ _indexes: dict[tuple[str, str], ix.Index] = {}
 
 def collection(spark: SparkSession, d: str) -> DataFrame:
     """The latest row of every chunk (of equally late ones the greater text); only the rows of repeated chunks move."""
-    rows = read(spark, d, "chunks").where(F.col("id_chunk").isNotNull())
+    rows = spread(read(spark, d, "chunks")).where(F.col("id_chunk").isNotNull())
     return latest_rows(rows, ["id_chunk"], "carregado_em", [F.col("texto").desc_nulls_last()])
 
 
@@ -103,7 +103,7 @@ with a as (select doc_id, regexp_replace(replace(nfc_normalize(coalesce(text, ''
 select doc_id, t as texto, len({sql_words("t")})::integer as quantidade_palavras, length(t)::integer as quantidade_caracteres from z""")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned texts of all documents."""
-    cleaned = read(spark, d, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("texto"))
+    cleaned = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.normalize_text(F.col("text")).alias("texto"))
     return cleaned.select("doc_id", "texto", tx.word_count(F.col("texto")).alias("quantidade_palavras"), F.length("texto").alias("quantidade_caracteres"))
 
 
@@ -151,7 +151,7 @@ def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select doc_id, len(t)::integer tokens, len(list_distinct(t))::integer distintos from (select doc_id, {sql_terms("coalesce(text, '')")} t from documents)")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     """Terms and distinct terms of every document."""
-    found = read(spark, d, "documents").select("doc_id", tx.terms(F.col("text")).alias("t"))
+    found = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.terms(F.col("text")).alias("t"))
     return found.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distintos"))
 
 
@@ -188,7 +188,7 @@ select doc_id, (k + 1)::integer ordem_chunk_documento, i::integer inicio_palavra
   length(t)::integer quantidade_caracteres, t texto from (select *, {sql_strip("array_to_string(w[i + 1:f], '')")} t from s)""")
 def chunk_sliding_single(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 200 words with 30 of overlap over every document's text."""
-    return chunking.chunk_texts(read(spark, d, "documents"), "doc_id", "text")
+    return chunking.chunk_texts(spread(read(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 _PAGES_SQL = f"""
@@ -206,7 +206,7 @@ select id_documento, (k + 1)::integer ordem_chunk_documento, min(a)::integer ini
 
 def latest_pages(spark: SparkSession, d: str) -> DataFrame:
     """The latest row of every page; only the rows of repeated pages move."""
-    return latest_rows(read(spark, d, "pages_norm"), ["id_documento", "numero_pagina"], "carregado_em", [F.col("texto_normalizado").desc_nulls_last()])
+    return latest_rows(spread(read(spark, d, "pages_norm")), ["id_documento", "numero_pagina"], "carregado_em", [F.col("texto_normalizado").desc_nulls_last()])
 
 
 @query(_PAGES_SQL)

@@ -56,6 +56,16 @@ def materialize(df: DataFrame, label: str = "table", partition_by: list[str] | N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer parts, as a table of a few small files does; else as it is.
+
+    For tables as they are read: a plan with exchanges would be run to count its parts. A table that
+    fills the cluster is never moved by this, and results don't depend on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, label: str = "table") -> DataFrame:
     """Write ``df``, already partitioned by ``key`` in that number, to the shared folder as a table bucketed by it.
 
