@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garimpo.llm import codepoints as cp
+from garimpo.functions import codepoints as cp
 from garimpo.workdir import materialize
 
 # Letters of other alphabets drawn like Latin ones (or, for the last pair, like each other).
@@ -84,7 +84,9 @@ def _expansions() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
     length[:, hidden] = 0
     offset[:, hidden] = 0
     folded = set(map(ord, LOOKALIKE))
-    changes = [i for i in range(0x80, _CODES) if not hidden[i] and (i in folded or unicodedata.decomposition(chr(i)) or _S <= i < _S + 11172)]
+    seen = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in cp.assigned()[0x80:]]
+    apart = unicodedata.normalize("NFKD", "\0".join(seen)).split("\0")  # all that has a decomposition of any kind
+    changes = [ord(c) for c, x in zip(seen, apart) if (c != x or ord(c) in folded) and not hidden[ord(c)]]
     for i in changes:
         spelled = "".join(c for c in _spell(chr(i)) if not hidden[ord(c)])
         for k, seq in enumerate((unicodedata.normalize("NFC", spelled), spelled)):
@@ -109,12 +111,10 @@ def _leads() -> np.ndarray:
 def _marks() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(combining class and follower flag for each code point, sorted pair keys, products)."""
     order, follows, pairs = np.zeros(_CODES, np.uint8), np.zeros(_CODES, bool), []
-    for i in range(0x300, _CODES):
-        c = unicodedata.combining(chr(i))
-        if c:
-            order[i] = c
+    for i in np.flatnonzero(cp.classes() == cp.MARK).tolist():
+        order[i] = unicodedata.combining(chr(i))
     follows[order > 0] = True
-    for i in range(0xC0, _CODES):
+    for i in cp.assigned()[0xC0:]:
         d = unicodedata.decomposition(chr(i))
         if d and d[0] != "<" and " " in d:
             a, b = (int(x, 16) for x in d.split())

@@ -30,9 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garimpo.llm import codepoints as cp
+from garimpo.functions import codepoints as cp
 from garimpo.llm import profile as pf
-from garimpo.llm.quality import PLAN
 from garimpo.llm.tokens import DEFAULT, TOKENIZERS, Encoder, load_merges
 from garimpo.workdir import materialize
 
@@ -43,6 +42,14 @@ JUNK = ("numericas", "simbolos", "estranhas", "ciclicas", "linha_numero", "linha
 LEAST_WEIGHT = 0.05
 
 
+def _junk(x: pf.Text) -> dict[str, np.ndarray]:
+    lines = pf.line_values(x) if x.n else {}
+    return {"numericas": x.w.digits > 0, "simbolos": pf.symbols(x), "estranhas": pf.odd_words(x), "ciclicas": pf.passages(x, 3), **lines}
+
+
+PLAN = pf.Plan(JUNK, _junk, 0)
+
+
 class Mix(NamedTuple):
     """``documents``: doc id, source, tokens, vezes; ``report``: one row for each listed source."""
 
@@ -53,7 +60,7 @@ class Mix(NamedTuple):
 def quality(t: cp.Texts) -> np.ndarray:
     """Weight of each text: the product of 1 less its mean of each statistic of junk, at least LEAST_WEIGHT."""
     made = pf.profile(t, PLAN, True)
-    means = made.totals[:, [PLAN.names.index(n) for n in JUNK]] / (np.maximum(made.words, 1)[:, None] * float(pf.UNIT))
+    means = made.totals / (np.maximum(made.words, 1)[:, None] * float(pf.UNIT))
     return np.maximum(np.prod(1 - np.minimum(means, 1), axis=1), LEAST_WEIGHT)
 
 

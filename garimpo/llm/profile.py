@@ -15,7 +15,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from garimpo.llm import codepoints as cp
+from garimpo.functions import codepoints as cp
+from garimpo.functions import hashing as hs
 from garimpo.llm import wordtable as wt
 from garimpo.llm.languages import CAPITAL_NOUNS, row_language
 
@@ -39,10 +40,10 @@ class Text:
         self.head = wt.flags()[w.cps[w.start]] if n else np.zeros(0, np.uint8)
         self.row_first = np.diff(w.row, prepend=-1) != 0
         self.line_first = (np.diff(w.line, prepend=-1) != 0) | self.row_first
-        self.row_key = wt.mix(np.arange(w.rows))[w.row]
+        self.row_key = hs.mix(np.arange(w.rows))[w.row]
         upper, letters = np.bincount(w.row, w.upper, w.rows), np.bincount(w.row, w.letters, w.rows)
         self.cased = (upper > 0.5 * letters)[w.row]  # words of rows in capitals
-        self.order = wt.Prefix(wt.mix(w.core))
+        self.order = hs.Prefix(hs.mix(w.core))
         self.place, self.row_end = np.arange(n), np.repeat(np.cumsum(w.sizes), w.sizes)
         self.content = (self.own < 0) & (w.letters >= 3) & (w.digits == 0)
 
@@ -79,13 +80,13 @@ def links(x: Text) -> np.ndarray:
 
 def repeated_near(x: Text) -> np.ndarray:
     """Content words that stand again nearby."""
-    return wt.together(x.w.core ^ x.row_key, x.content).near(x.n, NEAR)
+    return hs.together(x.w.core ^ x.row_key, x.content).near(x.n, NEAR)
 
 
 def passages(x: Text, times: int) -> np.ndarray:
     """Words inside a run of ``PASSAGE`` words that stands at least ``times`` times in its row."""
     key = x.runs(PASSAGE)
-    again = np.flatnonzero(wt.together(key ^ x.row_key, key != 0).times(x.n) >= times)
+    again = np.flatnonzero(hs.together(key ^ x.row_key, key != 0).times(x.n) >= times)
     hit = np.zeros(x.n + 1, np.int32)
     np.add.at(hit, again, 1)
     np.add.at(hit, np.minimum(again + PASSAGE, x.n), -1)

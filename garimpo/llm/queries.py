@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.llm import lookalike, mix, quality, spam, split, terms, tokens, topn
+from garimpo.workdir import spread
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:

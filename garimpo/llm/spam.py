@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from garimpo.functions import hashing as hs
 from garimpo.llm import languages as lg
 from garimpo.llm import profile as pf
 from garimpo.llm import wordtable as wt
@@ -56,7 +57,7 @@ def same_lines(x: pf.Text) -> np.ndarray:
     size = np.diff(np.append(first, x.n))
     key = x.order.spans(first, first + size) ^ x.row_key[first]
     usable = (size > 1) & (np.maximum.reduceat(x.w.letters, first) > 0)
-    return np.repeat(wt.together(key, usable).times(len(first)) >= SAME_LINE, size)
+    return np.repeat(hs.together(key, usable).times(len(first)) >= SAME_LINE, size)
 
 
 def prices(x: pf.Text) -> np.ndarray:
@@ -70,11 +71,11 @@ def prices(x: pf.Text) -> np.ndarray:
 
 def values(x: pf.Text) -> dict[str, np.ndarray]:
     w = x.w
-    words = wt.together(w.core ^ x.row_key, x.content)
+    words = hs.together(w.core ^ x.row_key, x.content)
     times = words.times(x.n)
     contents = np.bincount(w.row, x.content, w.rows)[w.row]
     pair_key = x.runs(2)
-    pairs = wt.together(pair_key ^ x.row_key, (pair_key != 0) & (w.core != 0))
+    pairs = hs.together(pair_key ^ x.row_key, (pair_key != 0) & (w.core != 0))
     near, common = pairs.near(x.n, pf.NEAR), top(pairs.times(x.n), w.sizes[w.row] - 1, TOP_PAIR)
     url = pf.links(x)
     alone = (w.letters + w.digits == 0) & (w.marks <= 2)

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from garimpo.llm import codepoints as cp
+from garimpo.functions import codepoints as cp
+from garimpo.functions import hashing as hs
 from garimpo.llm import languages as lg
 from garimpo.llm import profile as pf
 from garimpo.llm import quality, spam
@@ -216,8 +217,8 @@ def test_very_long_text():
 
 def test_hashes_of_spans():
     r = random.Random(8)
-    numbers = wt.mix(np.array([r.randint(0, 5) for _ in range(300)]))
-    prefix = wt.Prefix(numbers)
+    numbers = hs.mix(np.array([r.randint(0, 5) for _ in range(300)]))
+    prefix = hs.Prefix(numbers)
     start = np.array([r.randint(0, 290) for _ in range(4000)])
     end = np.minimum(start + np.array([r.randint(0, 4) for _ in range(4000)]), 300)
     seen: dict = {}
@@ -228,14 +229,14 @@ def test_hashes_of_spans():
 
 def test_places_by_key():
     r = random.Random(9)
-    key = wt.mix(np.array([r.randint(0, 40) for _ in range(500)]))
+    key = hs.mix(np.array([r.randint(0, 40) for _ in range(500)]))
     usable = np.array([r.random() < 0.8 for _ in range(500)])
-    got = wt.together(key, usable)
+    got = hs.together(key, usable)
     used = [k for k, u in zip(key.tolist(), usable) if u]
     assert got.times(500).tolist() == [used.count(k) if u else 0 for k, u in zip(key.tolist(), usable)]
     near = [bool(u and any(i != j and usable[j] and key[j] == key[i] for j in range(max(i - 3, 0), min(i + 4, 500)))) for i, u in enumerate(usable)]
     assert got.near(500, 3).tolist() == near
-    assert wt.together(key[:0], usable[:0]).times(0).tolist() == []
+    assert hs.together(key[:0], usable[:0]).times(0).tolist() == []
 
 
 def keyword_cycle(r, n=30, times=50):

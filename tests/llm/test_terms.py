@@ -11,10 +11,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from garimpo.llm import codepoints as cp
-from garimpo.llm import folding
+from garimpo.functions import codepoints as cp
+from garimpo.functions import hashing as hs
+from garimpo.functions import folding
 from garimpo.llm import terms as tm
-from garimpo.llm.latest import latest_rows
+from garimpo.operators.latest import latest_rows
 from garimpo.workdir import materialize
 
 SCHEMA = "id_chunk string, carregado_em int, texto string, id_carga string, term int"
@@ -70,7 +71,7 @@ def test_terms_of_any_text(texts):
 
 
 def test_one_hash_for_all_terms(monkeypatch):
-    monkeypatch.setattr(folding.wt.Prefix, "spans", lambda self, a, b: np.full(len(a), 7, np.uint64))
+    monkeypatch.setattr(folding.hs.Prefix, "spans", lambda self, a, b: np.full(len(a), 7, np.uint64))
     t = next(cp.spans(pa.array(["um dois um", "dois três"])))[1]
     found = folding.count_terms(t, np.zeros(2, np.int64))
     assert dict(zip(found.text.to_pylist(), zip(found.rows.tolist(), found.times.tolist()))) == {"um": (1, 2), "dois": (2, 2), "três": (1, 1)}
