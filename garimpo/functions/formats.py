@@ -13,6 +13,11 @@ def decimal_comma(value: Column, places: int) -> Column:
     return F.coalesce(F.translate(F.format_number(value, places), ",.", ".,"), F.lit(MISSING))
 
 
+def seconds(milliseconds: Column, places: int = 3) -> Column:
+    """Seconds with a decimal comma and their unit; a dash for null."""
+    return F.when(milliseconds.isNull(), F.lit(MISSING)).otherwise(F.concat(decimal_comma(milliseconds / 1000, places), F.lit(" s")))
+
+
 def byte_size(size: Column) -> Column:
     """Kilobytes with one decimal below a megabyte, else megabytes with two."""
     kb, mb = F.format_string("%.1f KB", size / 1024.0), F.format_string("%.2f MB", size / 1048576.0)

@@ -116,10 +116,10 @@ class Index:
 
     def restricted(self, load: DataFrame, key: str = "id_chunk") -> Index:
         """The index of a part of the chunks; document frequencies and lengths are those of the part."""
-        chunks = self.chunks.join(load.select(key).distinct(), key, "left_semi")
-        lengths = self.lengths.join(load.select(key).distinct(), key, "left_semi")
+        keys = materialize(load.select(key).distinct(), "carga")
+        lengths = self.lengths.join(keys, key, "left_semi")
         n, mean, total = corpus_stats(lengths).first()
-        return Index(chunks, restrict(self.postings, load, key), lengths, n, mean, total)
+        return Index(self.chunks.join(keys, key, "left_semi"), self.postings.join(keys, key, "left_semi"), lengths, n, mean, total)
 
     @property
     def spark(self) -> SparkSession:

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from garimpo.functions import formats
 from garimpo.functions import text as tx
 from garimpo.functions.scoring import idf
-from garimpo.operators import analysis, chunking, explore, search
+from garimpo.operators import analysis, chunking, experiment, explore, search
 from garimpo.operators import index as ix
 from garimpo.operators.latest import latest_rows
 from garimpo.operators.ordinals import global_ordinal
 from garimpo.plans import goldens
 from garimpo.plans.registry import query, read
-from garimpo.sources import catalogue, files
+from garimpo.sources import catalogue, files, results
 from garimpo.workdir import materialize, new_path, spread
 
 WS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -716,7 +716,7 @@ def catalog_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {INDEX} select term, df, cf from voc")
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """The vocabulary written as JSON under an envelope and read back with its schema."""
+    """The vocabulary written as JSON lines and read back with its schema."""
     path = new_path(spark, "json")
     files.write_json(ix.vocabulary(index_of(spark, d).postings), path)
     return files.read_json(spark, path, "term string, df bigint, cf bigint")
@@ -754,3 +754,184 @@ def candidates_quality(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "candidatos_topk").groupBy(F.col("score").isNull().alias("nulo"), F.coalesce(F.isnan("score") & F.col("score").isNotNull(), F.lit(False)).alias("nan")).agg(
         F.count("*").alias("linhas"), F.count_distinct("query_id").alias("consultas"), F.sum(F.when(F.size("frequencias_termos") > 0, first)).alias("primeira")
     )
+
+
+# --- experiments over the tables
+
+_ODD = "ordem_global % 2 = 1"
+_LOADS = {"carga_1": None, "carga_2": _ODD}
+
+
+def _load_sql(load: str, only: str) -> str:
+    """Candidates of both metrics and comparisons on one load, its statistics those of the load."""
+    bm25 = "ln(1 + (st.n - f.df + 0.5::double) / (f.df + 0.5::double)) * p.tf * 2.5::double / (p.tf + 1.5::double * (0.25::double + 0.75::double * l.dl / st.avgdl))"
+    return f"""(with recursive t as (select tok.* from tok join c using (id_chunk) where {only}), len as (select id_chunk, len(t) dl from t), st as (select count(*) n, avg(dl) avgdl from len),
+      post as (select term, id_chunk, count(*) tf from (select id_chunk, unnest(t) term from t) group by all), f as (select term, count(*) df from post group by term),
+      s as (select id_chunk, round(sum({bm25}), 4) score from post p join q using (term) join f using (term) join len l using (id_chunk) cross join st group by id_chunk),
+      o as (select score, row_number() over (order by ordem_global, s.id_chunk) - 1 p, row_number() over (order by score desc, s.id_chunk) r from s join c on c.id_chunk = s.id_chunk where score > 0),
+      parts as (select 0::bigint lo, (select count(*) from o) hi union all select unnest([lo, lo + (hi - lo) // 2]), unnest([lo + (hi - lo) // 2, hi]) from parts where hi - lo > 1),
+      x as (select lo, hi, r, score, p < lo + (hi - lo) // 2 a from parts join o on p >= lo and p < hi where hi - lo > 1),
+      z as (select lo, hi, least(max(r) filter (a), max(r) filter (not a)) z from x group by lo, hi), y as (select x.* from x join z using (lo, hi) where r <= z),
+      w as (select (select count(*) from y) + (select count(*) from y where exists (select 1 from x where x.lo = y.lo and x.hi = y.hi and x.a <> y.a and x.score = y.score and x.r > y.r)) comparacoes)
+      select '{load}' carga, (select n from st) chunks, (select count(distinct id_chunk) from post join q using (term)) simples, (select count(*) from o) bm25, (select comparacoes from w) comparacoes)"""
+
+
+_RUNS_SQL = f"""with {INDEX}, {ASKED}, g as ({_load_sql("carga_1", "true")} union all {_load_sql("carga_2", "c." + _ODD)}),
+  m as (select * from (values (1, 'C1', 'linear', 'simples'), (2, 'C2', 'indexada', 'bm25'), (3, 'C3', 'indexada', 'bm25')) v(o, configuracao, modo_busca, metrica_score)),
+  e as (select row_number() over (order by o, carga, repeticao)::integer id_execucao, m.*, g.*, repeticao from m, g, (values (1), (2)) r(repeticao))"""
+
+
+@query(f"""{_RUNS_SQL} select id_execucao, configuracao, modo_busca, metrica_score, carga, chunks total_chunks_carga, repeticao, case when o = 1 then simples else bm25 end candidatos_avaliados,
+  case when o = 3 then comparacoes else 0 end comparacoes_ordenacao, 'sucesso' status from e""")
+def experiment_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every configuration run on the whole and on the halved collection: what the runs counted."""
+    made = experiment.run_matrix(index_of(spark, d), _LOADS, goldens.QUERY)
+    return made.select("id_execucao", "configuracao", "modo_busca", "metrica_score", "carga", "total_chunks_carga", "repeticao", "candidatos_avaliados", "comparacoes_ordenacao", "status")
+
+
+@query("""select * from (values ('falha', 1::bigint, 1::bigint, 0::bigint, 1.0::double, 0.0::double), ('sucesso', 1, 0, 0, 0.0, 0.0)) v(caso, execucoes, falhas, vazias, taxa_falhas, taxa_vazias)""")
+def failed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run that can't be made is a row like the others: rates of an unknown mode and of a known one."""
+    configurations = (experiment.Configuration("falha", "desconhecida", "bm25"), experiment.Configuration("sucesso", "indexada", "bm25"))
+    made = experiment.run_matrix(index_of(spark, d), {"carga_1": None}, goldens.QUERY, configurations, 1)
+    return experiment.rates(made, ["configuracao"]).withColumnRenamed("configuracao", "caso")
+
+
+@query(_robust_sql("select m.modo, count(*) execucoes, 0::bigint falhas, count(*) filter (k = 0) vazias, 0.0::double taxa_falhas, round(count(*) filter (k = 0) / count(*)::double, 4) taxa_vazias from r, (values ('indexada'), ('linear')) m(modo) group by 1"))
+def robustness_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    """Failures and empty results of the battery for each access path."""
+    runs_of = search.battery(index_of(spark, d), list(goldens.BATTERY))
+    each = F.explode(F.array(F.struct(F.lit("indexada").alias("modo"), F.col("por_indice").alias("n")), F.struct(F.lit("linear").alias("modo"), F.col("por_varredura").alias("n"))))
+    flat = runs_of.select(each.alias("x")).select("x.modo", F.col("x.n").alias("candidatos_avaliados"), F.lit("sucesso").alias("status"))
+    return experiment.rates(flat, ["modo"])
+
+
+@query(f"""with {_RUNS} select configuracao, round(avg(tempo_execucao_ms), 4) media, round(stddev_pop(tempo_execucao_ms), 4) desvio, min(tempo_execucao_ms) minimo,
+  max(tempo_execucao_ms) maximo, median(tempo_execucao_ms) mediana, count(*) execucoes from r where status = 'sucesso' group by 1""")
+def experiment_by_configuration(spark: SparkSession, d: str) -> DataFrame:
+    """Times of the published runs by configuration, both loads together."""
+    return analysis.run_summary(runs(spark), ["configuracao"], "tempo_execucao_ms")
+
+
+@query(f"""with {_SERIES} select serie, count(*) pontos, round(regr_slope(ln(y), ln(x)), 4) expoente, round(exp(regr_intercept(ln(y), ln(x))), 6) fator, round(regr_r2(ln(y), ln(x)), 4) r2
+from pts where x > 0 and y > 0 group by 1""")
+def loglog_from_zero(spark: SparkSession, d: str) -> DataFrame:
+    """Growth exponents over all points with a positive size."""
+    return analysis.loglog(series(spark), ["serie"], 0.0)
+
+
+_POINTS = 6
+
+
+@query(f"""with {INDEX}, {ASKED}, o as (select c.id_chunk, texto, row_number() over (order by ordem_global, c.id_chunk) i from c), tot as (select count(*) n from c),
+  pt as (select distinct least(round_even(j * (n - 1) / (greatest(least({_POINTS} + 1, n), 3) - 1)::double, 0), n - 1)::integer ponto from tot, range(greatest(least({_POINTS} + 1, n), 3)) t(j)),
+  h as (select id_chunk, count(*) hits from post join q using (term) group by 1),
+  e as (select i, length(texto) chars, len({sql_words("texto")}) words, dl, coalesce(hits, 0) hits from o join len using (id_chunk) left join h using (id_chunk)),
+  g as (select ponto, sum(chars) a, sum(words) b, sum(dl) c, count(*) d, sum(hits) f, count(*) filter (hits > 0) k from pt join e on i <= ponto where ponto > 0 group by ponto)
+select unnest(['normalizacao', 'janelas', 'indexacao', 'estatisticas', 'busca_linear', 'busca_indexada', 'ordenacao', 'topk']) estagio, ponto, unnest([coalesce(a, 0), b, c, d, c, f, k, k])::bigint n from g""")
+def stage_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Work of the eight stages on growing parts of the chunks."""
+    index = index_of(spark, d)
+    return experiment.stage_sizes(index, goldens.QUERY, list(experiment.spaced_points(index.n, _POINTS)))
+
+
+_SIZES = (75, 150, 300)
+_DRAWN = "((({x}) * 7919 + 104729) % 65537 + 0.5::double) / 65537"
+_PARETO = f"round(pow({_DRAWN.format(x='(i * 48271 + 11) % (2 * {n})')}, -1 / 1.8::double), 4)"
+
+
+def _baseline_sql(n: int) -> str:
+    return f"""(with recursive v as (select i::bigint i, printf('chunk_%04d', i) id_chunk, {_PARETO.format(n=n)} score from range(1, {n} + 1) t(i)),
+      o as (select score, i - 1 p, row_number() over (order by score desc, id_chunk) r from v),
+      parts as (select 0::bigint lo, {n}::bigint hi, 1 depth union all select unnest([lo, lo + (hi - lo) // 2]), unnest([lo + (hi - lo) // 2, hi]), depth + 1 from parts where hi - lo > 1),
+      x as (select lo, hi, r, score, p < lo + (hi - lo) // 2 a from parts join o on p >= lo and p < hi where hi - lo > 1),
+      z as (select lo, hi, least(max(r) filter (a), max(r) filter (not a)) z from x group by lo, hi), y as (select x.* from x join z using (lo, hi) where r <= z),
+      w as (select (select count(*) from y) cs, (select count(*) from y where exists (select 1 from x where x.lo = y.lo and x.hi = y.hi and x.a <> y.a and x.score = y.score and x.r > y.r)) ci)
+      select {n}::bigint n, cs comparacoes_score, ci comparacoes_id, (select sum(hi - lo) filter (hi - lo > 1)::bigint from parts) movimentacoes, (select count(*) from parts) chamadas,
+        (select max(depth) from parts)::integer profundidade, cs + ci comparacoes, (select count(distinct score) from o) scores_distintos, (select count(*) - count(distinct score) from o) empates_score,
+        true ordem_igual, true topk_igual from w)"""
+
+
+@query("select * from " + " union all select * from ".join(f"{_baseline_sql(n)} b{n}" for n in _SIZES))
+def sort_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Skewed candidates of growing number: ties, work of a merge sort, and the distributed order against a plain one."""
+    return experiment.sort_baseline(spark, list(_SIZES), files.pareto_candidates)
+
+
+@query(f"""select 'pareto' gerador, i::bigint i, printf('chunk_%04d', i) id_chunk, {_PARETO.format(n=1000)} score from range(1, 1001) t(i)
+union all select 'uniforme', i, printf('chunk_%04d', i), round({_DRAWN.format(x="i")} * 100, 4) from range(1, 1001) t(i)""")
+def synthetic_skewed(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand candidates of skewed scores and of even ones, by arithmetic."""
+    made = [files.pareto_candidates(spark, 1000), files.uniform_candidates(spark, 1000)]
+    return made[0].select(F.lit("pareto").alias("gerador"), "*").unionByName(made[1].select(F.lit("uniforme").alias("gerador"), "*"))
+
+
+# --- lookups, digests, artefacts
+
+
+@query("select doc_id, octet_length(encode(text)) tamanho_bytes, sha256(text) hash_sha256 from documents where text is not null")
+def content_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Size and digest of the content of every document."""
+    rows = read(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", F.octet_length("text").cast("bigint").alias("tamanho_bytes"), F.sha2("text", 256).alias("hash_sha256"))
+
+
+@query(f"""select id_documento, numero_pagina, case when contains(coalesce(motivo_status, ''), 'imagem_presente') then 'imagem_presente_sem_camada_textual' else 'sem_texto_e_sem_imagem_detectavel' end motivo
+from pages_norm where coalesce({sql_strip("texto_normalizado")}, '') = ''""")
+def empty_page_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why each page without text is empty, by whether an image was noted."""
+    image = F.coalesce("motivo_status", F.lit("")).contains("imagem_presente")
+    rows = read(spark, d, "pages_norm").withColumn("motivo", catalogue.empty_reason(F.col("texto_normalizado"), image))
+    return rows.where("motivo is not null").select("id_documento", "numero_pagina", "motivo")
+
+
+@query("select id_documento, numero_pagina, texto_normalizado from pages_norm where id_documento = 'doc_005' and numero_pagina = 1")
+def page_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One page of one document, every version; both keys reach the scan."""
+    return read(spark, d, "pages_norm").where("id_documento = 'doc_005' and numero_pagina = 1").select("id_documento", "numero_pagina", "texto_normalizado")
+
+
+@query("select distinct id_documento, nome_arquivo, quantidade_paginas, fonte_url from catalogo where id_documento = 'doc_005'")
+def document_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue entry of one document."""
+    return read(spark, d, "catalogo").where("id_documento = 'doc_005'").select("id_documento", "nome_arquivo", "quantidade_paginas", "fonte_url").distinct()
+
+
+@query(f"with {COLLECTION} select count(*) chunks, count(*) filter (coalesce({sql_strip('texto')}, '') = '') vazios, count(*) filter (coalesce(len(paginas), 0) = 0) sem_paginas from c")
+def chunk_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, those without text, those without pages."""
+    pages = F.coalesce(F.when(F.col("paginas").isNotNull(), F.size("paginas")), F.lit(0))
+    return collection(spark, d).agg(F.count("*").alias("chunks"), F.count_if(tx.is_blank(F.col("texto"))).alias("vazios"), F.count_if(pages == 0).alias("sem_paginas"))
+
+
+@query(f"with {INDEX} select term, df, cf from voc")
+def json_envelope_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary written in blocks under an envelope and read back, with a part written bare beside it."""
+    vocabulary_of = materialize(ix.vocabulary(index_of(spark, d).postings), "vocabulario")
+    wrapped, bare = new_path(spark, "json"), new_path(spark, "json")
+    files.write_json(vocabulary_of.where("df > 1"), wrapped, "termos")
+    files.write_json(vocabulary_of.where("df <= 1"), bare)
+    schema = "term string, df bigint, cf bigint"
+    return files.read_json(spark, wrapped, schema, "termos", whole=False).unionByName(files.read_json(spark, bare, schema, "termos", whole=False))
+
+
+@query(f"with {_RUNS} select id_execucao, configuracao, tempo_execucao_ms from r")
+def csv_mark_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The runs written with decimal points and a byte-order mark, and read back."""
+    path = new_path(spark, "csv")
+    files.write_csv(runs(spark).select("id_execucao", "configuracao", "tempo_execucao_ms"), path, mark=True)
+    return files.read_csv(spark, path, "id_execucao int, configuracao string, tempo_execucao_ms double")
+
+
+@query(f"with {_RUNS} select id_execucao, replace(printf('%.3f', tempo_execucao_ms / 1000), '.', ',') || ' s' tempo from r")
+def report_seconds(spark: SparkSession, d: str) -> DataFrame:
+    """Times of the runs in seconds, as the reports print them."""
+    return runs(spark).select("id_execucao", formats.seconds(F.col("tempo_execucao_ms")).alias("tempo"))
+
+
+@query(_search_sql(sql_bm25(), "select * from (" + TOP + ") where posicao <= 5"))
+def search_persisted(spark: SparkSession, d: str) -> DataFrame:
+    """A search whose candidates and report are kept as artefacts, its first five read back from them."""
+    path = new_path(spark, "busca")
+    results.run_search(index_of(spark, d), goldens.QUERY, path)
+    return results.read_first(spark, path).select("posicao", "id_chunk", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.functions import text as tx
@@ -24,6 +24,15 @@ def content_digests(spark: SparkSession, folder: str, pattern: str = "*") -> Dat
     return files.select("path", F.col("length").alias("tamanho_bytes"), F.sha2("content", 256).alias("hash_sha256"))
 
 
+# Why a page has no text.
+WITH_IMAGE, WITHOUT_IMAGE = "imagem_presente_sem_camada_textual", "sem_texto_e_sem_imagem_detectavel"
+
+
+def empty_reason(text: Column, image: Column) -> Column:
+    """Why a page is empty, by whether it holds an image; null for pages with text."""
+    return F.when(tx.is_blank(text), F.when(F.coalesce(image, F.lit(False)), WITH_IMAGE).otherwise(WITHOUT_IMAGE))
+
+
 def processing_report(pages: DataFrame) -> DataFrame:
     """For each document: pages, empty pages, and a warning for each empty page in page order. The latest row of a page counts."""
     newest = F.max(F.struct("carregado_em", "texto_normalizado", "motivo_status"))
