@@ -46,7 +46,7 @@ from garimpo.workdir import materialize
 
 AROUND, ORDER_AROUND = 2, 6
 STEPS = 5
-QUANTILE = 1.645  # the limit as a normal deviate: of normal cells one in twenty lies beyond
+QUANTILE = 1.2816  # the limit as a normal deviate: of normal cells one in ten lies beyond
 SHARE = 0.5
 PRIOR_CELLS = 300  # cells by which a language leans on the estimate of all
 # The statistics of the distance, and the least standard deviation each is given.

@@ -37,6 +37,7 @@ from garimpo.workdir import materialize
 
 SHARE = 0.5
 PRIOR_WORDS = 2_000  # words by which a language leans on the usual values of all
+SPREADS, MOST_STEP = 2.0, 0.85
 LEAST_TIMES, TOP_WORD, TOP_PAIR, RECURRENT, SAME_LINE = 4, 0.025, 0.01, 0.005, 3  # from which a word, pair or line is a top one of its text
 REASONS = ("ligacoes", "repeticao", "palavras_chave", "produtos")
 STATISTICS = (
@@ -126,30 +127,35 @@ CALIBRATED = (
 
 
 class Usual:
-    """Median of each calibrated statistic in each language, and the thresholds a step away from it."""
+    """Median and lower tenth of each calibrated statistic in each language, and the thresholds they set.
+
+    Repetition, links and the like make the upper side of a statistic, so its spread is taken from the lower side.
+    """
 
     def __init__(self, counts: np.ndarray):
         known = counts[: lg.OTHER]
         pooled = known.sum(axis=0)
         pooled = pooled if pooled.sum() else counts.sum(axis=0)
         prior = pooled / np.maximum(pooled.sum(axis=1, keepdims=True), 1) * PRIOR_WORDS
-        median = np.concatenate([_medians(known + prior), _medians(pooled[None])])
+        median, low = (np.concatenate([_quantile(known + prior, q), _quantile(pooled[None], q)]) for q in (0.5, 0.1))
         self.median = {name: median[:, j] for j, name in enumerate(CALIBRATED)}
+        self.low = {name: low[:, j] for j, name in enumerate(CALIBRATED)}
 
     def above(self, name: str, step: float, language: np.ndarray) -> np.ndarray:
-        """``step`` of the way from the usual value to 1."""
-        m = self.median[name][language]
-        return m + step * (1 - m)
+        """``step`` of the way from the usual value to 1, further where the language itself varies much, MOST_STEP of the way at most."""
+        m = self.median[name]
+        limit = np.clip(m + SPREADS * (m - self.low[name]), m + step * (1 - m), m + MOST_STEP * (1 - m))
+        return limit[language]
 
     def below(self, name: str, part: float, language: np.ndarray) -> np.ndarray:
         """``part`` of the usual value."""
         return part * self.median[name][language]
 
 
-def _medians(counts: np.ndarray) -> np.ndarray:
-    """Median of each histogram of 256 values (last axis)."""
+def _quantile(counts: np.ndarray, q: float) -> np.ndarray:
+    """A quantile of each histogram of 256 values (last axis)."""
     run = np.cumsum(counts, axis=-1)
-    return np.argmax(run >= run[..., -1:] / 2, axis=-1) / 255.0
+    return np.argmax(run >= run[..., -1:] * q, axis=-1) / 255.0
 
 
 def profiled(df: DataFrame, key: str, text: str, plan: pf.Plan, classes: bool = False, sums: bool = False) -> DataFrame:
