@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from garimpo.workdir import materialize
 
-BROADCAST_KEYS = 100_000  # repeated keys that are broadcast at most; beyond, all rows are shuffled by key
+BROADCAST_KEYS, BROADCAST_BYTES = 100_000, 16 << 20  # repeated keys, and their bytes, that are broadcast at most; beyond, all rows are shuffled by key
 
 
 def latest_rows(df: DataFrame, keys: list[str], when: str, ties: list[Column] = (), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -23,8 +23,10 @@ def latest_rows(df: DataFrame, keys: list[str], when: str, ties: list[Column] =
         return rows.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
 
     repeated = materialize(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repetidas")
-    if repeated.count() > broadcast_keys:
-        return newest(df)
+    width = functools.reduce(Column.__add__, (F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys))
+    number, size = repeated.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if number > broadcast_keys or size > BROADCAST_BYTES:
+        return newest(df)  # each task keeps one row a key before anything moves
     few = F.broadcast(repeated.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))))
     same = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
     return df.join(few, same, "left_anti").unionByName(newest(df.join(few, same, "left_semi")))
