@@ -66,9 +66,7 @@ def search_index(
     check_parameters(0, k1, b, metric, mode)
     terms = tx.query_terms(query)[3]
     found = index.postings.where(F.col("term").isin(terms)) if terms else index.postings.limit(0)
-    frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
-    # one row a query term
-    matches = found.join(F.broadcast(_terms(index, terms)), "term").join(F.broadcast(frequencies), "term")
+    matches = _placed(found, terms)
     if document is not None:
         matches = matches.join(index.chunks.where(F.col("id_documento") == document).select("id_chunk"), "id_chunk", "left_semi")
     out = score_matches(index, matches, metric, k1, b)
@@ -82,10 +80,19 @@ def search_scan(index: Index, query: str, metric: str = "bm25", k1: float = K1,
     check_parameters(0, k1, b, metric)
     terms = tx.query_terms(query)[3]
     found = materialize(analyse(index.chunks, "id_chunk", text, terms).where("term is not null"), "achados")  # one pass over the texts
-    frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
-    # one row a query term
-    matches = found.join(F.broadcast(_terms(index, terms)), "term").join(F.broadcast(frequencies), "term")
-    return score_matches(index, matches, metric, k1, b).where("score > 0")
+    return score_matches(index, _placed(found, terms), metric, k1, b).where("score > 0")
+
+
+def _placed(found: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of a query's terms with ``ord``, their place in it, and ``df``: one number a term comes to the driver and goes into the plan."""
+    df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    if not terms:
+        return found.withColumns({"ord": F.lit(0), "df": F.lit(0).cast("bigint")})
+
+    def of_term(values: list[Column]) -> Column:
+        return F.try_element_at(F.create_map(*(x for term, value in zip(terms, values) for x in (F.lit(term), value))), F.col("term"))
+
+    return found.withColumns({"ord": of_term([F.lit(i) for i in range(len(terms))]), "df": of_term([F.lit(df.get(t, 0)).cast("bigint") for t in terms])})
 
 
 def ordered(candidates: DataFrame) -> DataFrame:

@@ -409,6 +409,15 @@ def search_linear_vs_indexed(spark: SparkSession, d: str) -> DataFrame:
     return search.same_ranking(ranked(search.search_index(index, goldens.QUERY)), ranked(search.search_scan(index, goldens.QUERY)))
 
 
+@query(_search_sql(sql_bm25(), f"select 'indice' caminho, * from ({TOP}) union all select 'varredura', * from ({TOP})"))
+def search_both_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """The full rankings of both access paths, each against its own SQL."""
+    index = index_of(spark, d)
+    paths = (("indice", search.search_index), ("varredura", search.search_scan))
+    found = [ranked(find(index, goldens.QUERY)).select(F.lit(name).alias("caminho"), "posicao", "id_chunk", "score") for name, find in paths]
+    return found[0].unionByName(found[1])
+
+
 def _robust_sql(tail: str) -> str:
     rows = ", ".join(f"({i}, '{kind}', '{q}')" for i, (kind, q) in enumerate(goldens.BATTERY))
     asked = [(i, o, t) for i, (_, q) in enumerate(goldens.BATTERY) for o, t in enumerate(tx.query_terms(q)[3])]
