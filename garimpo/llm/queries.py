@@ -20,6 +20,11 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_statistics(*(_read(spark, d, t) for t in ("pages_norm", "chunks", "relatorio_chunking")))
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, words and characters of every document, counted anew."""
+    return p1_documents(spark, d).select("id_documento", "quantidade_chunks", "quantidade_palavras", "quantidade_caracteres")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents most of whose words stand in lists, tables or junk."""
     return quality.document_quality(_read(spark, d, "pages_norm")).where("caso").select("id_documento")
@@ -145,7 +150,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_documents, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p7_limits, p8_found, p8_shares)
+    for f in (p1_found, p1_documents, p1_counts, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p3_limits, p4_found, p4_terms, p4_loads, p5_found, p6_ids, p7_found, p7_mix, p7_shares, p7_limits, p8_found, p8_shares)
 }
 
 _TERMS = """
@@ -160,6 +165,12 @@ _SPACE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028
 _WORDS = f"len(regexp_extract_all(texto, '[^{_SPACE}]+'))"
 
 SQL: dict[str, str] = {
+    "p1_counts": f"""
+        with t as (
+          select id_chunk, id_documento, texto from (select *, row_number() over (partition by id_chunk order by carregado_em desc nulls last, texto desc) rn from chunks where id_chunk is not null and texto is not null) where rn = 1),
+        c as (select id_documento, count(*) c, sum({_WORDS})::bigint p, sum(length(texto))::bigint n from t where id_documento is not null group by 1),
+        ids as (select id_documento from pages_norm union select id_documento from chunks union select id_documento from relatorio_chunking)
+        select id_documento, coalesce(c, 0) quantidade_chunks, coalesce(p, 0) quantidade_palavras, coalesce(n, 0) quantidade_caracteres from ids left join c using (id_documento) where id_documento is not null""",
     "p5_found": """
         with best as (
           select query_id, id_chunk, max(score) as s from candidatos_topk

@@ -148,5 +148,5 @@ def test_agrees_with_sql(spark, data, duck):
     from compare import duck_rows, spark_rows
     from garimpo.llm.queries import QUERIES, SQL
 
-    for name in ("p4_found", "p4_terms", "p4_loads"):
+    for name in ("p1_counts", "p3_limits", "p4_found", "p4_terms", "p4_loads", "p7_limits"):
         assert spark_rows(QUERIES[name](spark, data)) == duck_rows(duck, SQL[name])
