@@ -117,8 +117,8 @@ def mix_sources(
     listed = listed.agg(F.coalesce(F.max("peso"), F.lit(0.0)).alias("peso"), F.coalesce(F.max("max_repeticoes"), F.lit(0)).cast("int").alias("max_repeticoes"))
     sized = sized_documents(docs.where(F.col("source").isNotNull()), key, text, "source", tokenizer, folder)
     sized = materialize(sized.join(listed.select("source"), "source", "left_semi").where("tokens > 0"), "tamanhos")
-    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tamanho"), F.count("*").alias("documentos"))
-    plan = listed.join(sizes, "source", "left").fillna(0, ["tamanho", "documentos"])
+    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tamanho"), F.count("*").alias("documentos"), F.max("tokens").alias("maior"))
+    plan = listed.join(sizes, "source", "left").fillna(0, ["tamanho", "documentos", "maior"])
     total = plan.agg(F.sum("tamanho")).first()[0] or 0  # one number
     plan = plan.withColumn("alvo", F.col("peso") * F.lit(float(total)))
     plan = plan.withColumn("orcamento", F.least("alvo", (F.col("tamanho") * F.col("max_repeticoes")).cast("double")))
@@ -148,7 +148,7 @@ def mix_sources(
     report = plan.join(reached, "source", "left").fillna(0, ["tokens_na_mistura", "vezes"])
     mixed = chosen.agg(F.sum(F.col("tokens") * F.col("vezes"))).first()[0] or 0  # one number
     report = report.select(
-        "source", "peso", "max_repeticoes", "tamanho", "documentos", "alvo", "epocas", "vezes", "tokens_na_mistura",
+        "source", "peso", "max_repeticoes", "tamanho", "documentos", "maior", "alvo", "epocas", "vezes", "tokens_na_mistura",
         (F.col("tokens_na_mistura") / F.lit(float(max(mixed, 1)))).alias("parte"),
         (F.col("tokens_na_mistura") / F.lit(float(max(total, 1)))).alias("parte_do_total"),
         ((F.col("tamanho") * F.col("max_repeticoes")).cast("double") < F.col("alvo")).alias("insuficiente"),

@@ -123,9 +123,9 @@ def p7_limits(spark: SparkSession, d: str) -> DataFrame:
     """For every listed source what the mix must keep: budget, whole epochs before a part, cap, every document whole."""
     made = mix.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))
     seen = made.documents.groupBy("source").agg(
-        F.sum(F.col("tokens") * F.col("vezes")).alias("soma"), F.count("*").alias("linhas"), F.max("tokens").alias("maior"), F.min("vezes").alias("menos"), F.max("vezes").alias("mais")
+        F.sum(F.col("tokens") * F.col("vezes")).alias("soma"), F.count("*").alias("linhas"), F.min("vezes").alias("menos"), F.max("vezes").alias("mais")
     )
-    r = made.report.join(seen, "source", "left").fillna(0, ["soma", "linhas", "maior", "menos", "mais"])
+    r = made.report.join(seen, "source", "left").fillna(0, ["soma", "linhas", "menos", "mais"])
     budget = F.least("alvo", (F.col("tamanho") * F.col("max_repeticoes")).cast("double"))
     return r.select(
         "source", "max_repeticoes", (F.abs(F.col("soma") - budget) <= F.col("maior") / 2 + 1e-6).alias("no_orcamento"), (F.col("mais") <= F.col("max_repeticoes")).alias("na_cota"),
